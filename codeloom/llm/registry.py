@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, simhash
 
 QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op10_decontamination": decontaminate.op10_decontamination,
 }

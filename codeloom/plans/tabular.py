@@ -1,0 +1,3 @@
+"""Queries over the tables."""
+QUERIES = {}
+ORACLE_SQL = {}
