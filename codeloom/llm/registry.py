@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, simhash, warc_zip
 
 QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_warc_zip": warc_zip.op9_warc_zip,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-ORACLE_SQL = {"op10_decontamination": decontaminate.ORACLE}
+ORACLE_SQL = {"op9_warc_zip": warc_zip.ORACLE, "op10_decontamination": decontaminate.ORACLE}
