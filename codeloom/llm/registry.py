@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash, warc_zip
+from . import bpe, decontaminate, matroska, simhash, warc_zip
 
 QUERIES = {
+    "op2_matroska": matroska.op2_matroska,
     "op5_simhash": simhash.op5_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_warc_zip": warc_zip.op9_warc_zip,
