@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, matroska, simhash, warc_zip
+from . import bpe, decontaminate, matroska, ppm, simhash, warc_zip
 
 QUERIES = {
+    "op1_language_id": ppm.op1_language_id,
     "op2_matroska": matroska.op2_matroska,
     "op5_simhash": simhash.op5_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
