@@ -41,8 +41,6 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     """One table of grams and counts from several."""
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(parts) == 1:
-        return parts[0]
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]

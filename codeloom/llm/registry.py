@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, matroska, ppm, simhash, warc_zip
+from . import bpe, ctw, decontaminate, matroska, ppm, simhash, warc_zip
 
 QUERIES = {
     "op1_language_id": ppm.op1_language_id,
     "op2_matroska": matroska.op2_matroska,
     "op5_simhash": simhash.op5_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_ctw": ctw.op8_ctw,
     "op9_warc_zip": warc_zip.op9_warc_zip,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
