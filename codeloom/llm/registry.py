@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, ctw, decontaminate, matroska, ppm, simhash, warc_zip
+from . import bpe, ctw, decontaminate, matroska, pii, ppm, simhash, warc_zip
 
 QUERIES = {
     "op1_language_id": ppm.op1_language_id,
     "op2_matroska": matroska.op2_matroska,
+    "op4_pii": pii.op4_pii,
     "op5_simhash": simhash.op5_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_ctw": ctw.op8_ctw,
