@@ -139,9 +139,13 @@ def by_join(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     grams = cut.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: F.slice("w", i + 1, size))).alias("g")).distinct()
     lengths = [r[0] for r in grams.select(F.size("g")).distinct().collect()]  # size at most
     table = docs.select(F.col(doc_id).alias("doc"), _words(text).alias("w"))
+
+    def spots(n: int):
+        return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("g")))
+
     hits = None
     for n in lengths:
-        at = table.where(F.size("w") >= n).select("doc", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("g")))).alias("x")).select("doc", F.col("x.i").alias("i"), F.col("x.g").alias("g"))
+        at = table.where(F.size("w") >= n).select("doc", F.explode(spots(n)).alias("x")).select("doc", F.col("x.i").alias("i"), F.col("x.g").alias("g"))
         one = at.join(grams.where(F.size("g") == n), "g").select("doc", "i", F.lit(n).alias("n"), "item")
         hits = one if hits is None else hits.unionByName(one)
     if hits is None:

@@ -18,6 +18,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +30,28 @@ WORDS, RADIUS, SEED = 3, 3, 42
 BUCKET = 128
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """The 64-bit SimHash of word shingles under XXH64 with seed 42."""
+def shingle_hashes(text: bytes | None, words: int = WORDS) -> list[int]:
+    """XXH64 with seed 42 of every word shingle, repeats included."""
     import xxhash
 
     w = (text or b"").lower().split()
     if not w:
-        return 0
+        return []
     joined, h = b" ".join(w), xxhash.xxh64_intdigest
     if len(w) <= words:
-        hashes = [h(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [h(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [h(joined[a:b], SEED) for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, words: int = WORDS) -> int:
+    """The 64-bit SimHash of a text's word shingles."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = np.array(hashes[at : at + (1 << 14)], dtype=">u8")
@@ -56,7 +65,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words: in
     def make():
         def run(texts):
             values = [fingerprint(t, words) for t in texts]
-            return {"fp": [v - (1 << 64) if v >> 63 else v for v in values]}
+            return {"fp": list(map(_signed, values))}
 
         return run
 
@@ -70,7 +79,7 @@ def masks(bits: list[int], radius: int = RADIUS, seed: int = SEED) -> list[int]:
     return [sum(1 << b for b in bits if (vector[b] & v).bit_count() & 1) for v in range(1, 1 << (radius + 1))]
 
 
-def signed(mask: int) -> int:
+def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
@@ -119,11 +128,11 @@ def _links_of_buckets(buckets: DataFrame, radius: int) -> DataFrame:
 
 def near(values: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that span all pairs of distinct fingerprints ``fp`` within the radius."""
-    spark = values.sparkSession
-    full = (1 << 64) - 1
+    if bucket < 1 << radius:
+        raise ValueError("a bucket must hold all fingerprints that differ in the last free bits")
     table = masks(list(range(64)), radius)
     # free: bits not fixed yet; key: a hash of the fixed bits and of which they are.
-    level = values.select("fp", F.posexplode(F.array(*[F.lit(signed(m)) for m in table])).alias("t", "mask"))
+    level = values.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in table])).alias("t", "mask"))
     level = level.select("fp", F.bitwise_not("mask").alias("free"), F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     found, depth = None, 0
     while True:
@@ -158,7 +167,7 @@ def _again(level: DataFrame, radius: int, depth: int) -> DataFrame:
                     continue
                 for t, m in enumerate(known[free]):
                     m &= free & (1 << 64) - 1
-                    part = pa.RecordBatch.from_arrays([pa.array(fps[rows]), pa.array(np.full(len(rows), signed(free & ~m & (1 << 64) - 1))), pa.array(keys[rows]), pa.array(np.full(len(rows), t, np.int32)), pa.array(fps[rows] & signed(m))], names=["fp", "free", "key", "t", "part"])
+                    part = pa.RecordBatch.from_arrays([pa.array(fps[rows]), pa.array(np.full(len(rows), _signed(free & ~m & (1 << 64) - 1))), pa.array(keys[rows]), pa.array(np.full(len(rows), t, np.int32)), pa.array(fps[rows] & _signed(m))], names=["fp", "free", "key", "t", "part"])
                     yield part
 
     out = level.select("fp", "free", "key").mapInArrow(run, "fp bigint, free bigint, key bigint, t int, part bigint")
@@ -176,6 +185,119 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     return rows.join(named.join(head, "root").select("fp", "component_id"), "fp").select(doc_id, "fp", "component_id")
 
 
+# --- one document of each group ------------------------------------------------------------
+#
+# Three bits of 64 are few: of the pairs that share 0.8 or more of their five-word shingles most
+# differ in 4 to 14.  The stage therefore joins, beside fingerprints, documents that agree on
+# one of BANDS rows of least hashes, once their shingles have been compared in full.
+
+STAGE_WORDS, SIMILAR = 5, 0.8
+BANDS, ROWS, ORDERS = 20, 4, 3
+_LEAST = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) << np.uint64(1)
+_LEAST[0] |= np.uint64(1)
+
+
+def sketch(text: bytes | None, words: int = STAGE_WORDS) -> tuple[int, bytes, list[int]]:
+    """Fingerprint, digest of the set of shingles, and band keys."""
+    import xxhash
+
+    hashes = shingle_hashes(text, words)
+    distinct = np.unique(np.array(hashes, np.uint64))
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(distinct), 4096):
+        least = np.minimum(least, (distinct[None, k : k + 4096] * _LEAST[0][:, None] + _LEAST[1][:, None]).min(axis=1))
+    rows = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)] if len(distinct) else []
+    return majority(hashes), xxhash.xxh3_128_digest(distinct.tobytes()), keys
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``_row`` (the whole row), doc_id, text, and ``_at``: file and row, which stay as they are."""
+
+    def place(df: DataFrame) -> DataFrame:
+        file = df.metadataColumn("_metadata")
+        return df.select(F.struct("*").alias("_row"), "doc_id", "text", F.struct(file.file_path.alias("file"), file.row_index.alias("row")).alias("_at"))
+
+    try:
+        return place(docs)
+    except AnalysisException:  # not a table of files
+        return place(common.written(docs, "documents"))
+
+
+def _sketches(placed: DataFrame) -> DataFrame:
+    def make():
+        def run(texts):
+            made = [sketch(t) for t in texts]
+            return {"fp": [_signed(m[0]) for m in made], "sid": [m[1] for m in made], "bands": [list(map(_signed, m[2])) for m in made]}
+
+        return run
+
+    schema = pa.schema([("fp", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    return common.map_texts(placed, ["_at", "doc_id"], "text", make, schema, "fp bigint, sid binary, bands array<bigint>")
+
+
+def _shingles(placed: DataFrame) -> DataFrame:
+    """sid and the set of shingles, as 64-bit numbers."""
+
+    def make():
+        def run(texts):
+            sets = [np.unique(np.array(shingle_hashes(t, STAGE_WORDS), np.uint64)).view(np.int64) for t in texts]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            return {"shingles": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))}
+
+        return run
+
+    return common.map_texts(placed, ["sid"], "text", make, pa.schema([("shingles", pa.list_(pa.int64()))]), "shingles array<bigint>")
+
+
+def candidate_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that share a bucket, from ``sid`` and ``bands``.
+
+    Each bucket of a band pairs its members with ORDERS pivots, so the pairs grow with the
+    members and not with their square; a group is joined through the pivots of all its bands.
+    """
+    buckets = common.written(sets.select("sid", F.explode("bands").alias("key")), "bands")
+    pivots = buckets.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), "sid")).alias(f"p{k}") for k in range(ORDERS)])
+    pivots = common.written(pivots.where("n > 1").select("key", F.array_distinct(F.array(*[f"p{k}.sid" for k in range(ORDERS)])).alias("pivots")), "pivots")
+    pairs = buckets.join(pivots, "key").select("sid", F.explode("pivots").alias("pivot")).where("sid != pivot")
+    return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+
+
+def similar_sets(placed: DataFrame, sets: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between sets of shingles that are similar; ``sets`` has sid, bands and the
+    place of one document with that set, whose text is read again if the set is in a pair."""
+    pairs = common.written(candidate_pairs(sets), "pairs")
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = common.written(sets.select("sid", "least._at").join(wanted, "sid").select("sid", F.col("_at").alias("_place")), "wanted")
+    texts = placed.select("_at", "text").join(wanted, F.col("_at") == F.col("_place")).select("sid", "text")
+    whole = common.written(_shingles(texts), "shingles")
+    left = pairs.join(whole.withColumnsRenamed({"sid": "a", "shingles": "x"}), "a")
+    both = left.join(whole.withColumnsRenamed({"sid": "b", "shingles": "y"}), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return common.written(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR) -> DataFrame:
+    """``docs`` without the documents that have a near copy with a lesser id (or place).
+
+    Groups are reached through fingerprints of five-word shingles within the radius and through
+    sets of such shingles that are similar.  Documents without words are copies of each other.
+    """
+    placed = located(docs)
+    rows = common.written(_sketches(placed), "sketches")
+    sets = rows.groupBy("sid").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("least"))
+    sets = common.written(sets, "sets")
+    heads = common.written(sets.groupBy("fp").agg(F.min("sid").alias("head")), "heads")
+    close = near(heads.select("fp"), radius)
+    close = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = sets.select("sid", "fp").join(heads, "fp").select(F.col("sid").alias("x"), F.col("head").alias("y")).where("x != y")
+    links = close.unionByName(same).unionByName(similar_sets(placed, sets, similarity).toDF("x", "y"))
+    member = components(links, "x", "y")
+    named = common.written(sets.select("sid", "least").join(member, sets.sid == member.node, "left").select("least", F.coalesce("root", "sid").alias("root")), "named")
+    kept = common.written(named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._at").alias("_kept")), "kept")
+    return placed.select("_row", "_at").join(kept, F.col("_at") == F.col("_kept"), "left_semi").select("_row.*")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(common.documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
