@@ -1 +1 @@
-"""Sessions, shipping of this package to executors, and query plans over tables."""
+"""Sessions, shipping of this package to executors, indexing, and query plans over tables."""
