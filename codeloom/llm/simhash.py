@@ -259,7 +259,7 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
     buckets = common.written(sets.select("sid", F.explode("bands").alias("key")), "bands")
     pivots = buckets.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), "sid")).alias(f"p{k}") for k in range(ORDERS)])
     pivots = common.written(pivots.where("n > 1").select("key", F.array_distinct(F.array(*[f"p{k}.sid" for k in range(ORDERS)])).alias("pivots")), "pivots")
-    pairs = buckets.join(pivots, "key").select("sid", F.explode("pivots").alias("pivot")).where("sid != pivot")
+    pairs = buckets.join(pivots.hint("merge"), "key").select("sid", F.explode("pivots").alias("pivot")).where("sid != pivot")
     return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
@@ -269,7 +269,7 @@ def similar_sets(placed: DataFrame, sets: DataFrame, similarity: float = SIMILAR
     pairs = common.written(candidate_pairs(sets), "pairs")
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = common.written(sets.select("sid", "least._at").join(wanted, "sid").select("sid", F.col("_at").alias("_place")), "wanted")
-    texts = placed.select("_at", "text").join(wanted, F.col("_at") == F.col("_place")).select("sid", "text")
+    texts = placed.select("_at", "text").join(wanted.hint("merge"), F.col("_at") == F.col("_place")).select("sid", "text")
     whole = common.written(_shingles(texts), "shingles")
     left = pairs.join(whole.withColumnsRenamed({"sid": "a", "shingles": "x"}), "a")
     both = left.join(whole.withColumnsRenamed({"sid": "b", "shingles": "y"}), "b")
@@ -282,6 +282,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
 
     Groups are reached through fingerprints of five-word shingles within the radius and through
     sets of such shingles that are similar.  Documents without words are copies of each other.
+    Texts meet what was decided on them in sort-merge joins, whatever the size of either side.
     """
     placed = located(docs)
     rows = common.written(_sketches(placed), "sketches")
@@ -295,7 +296,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     member = components(links, "x", "y")
     named = common.written(sets.select("sid", "least").join(member, sets.sid == member.node, "left").select("least", F.coalesce("root", "sid").alias("root")), "named")
     kept = common.written(named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._at").alias("_kept")), "kept")
-    return placed.select("_row", "_at").join(kept, F.col("_at") == F.col("_kept"), "left_semi").select("_row.*")
+    return placed.select("_row", "_at").join(kept.hint("merge"), F.col("_at") == F.col("_kept"), "left_semi").select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
