@@ -79,7 +79,8 @@ class Store:
         folder = self.current()
         if folder is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+        empty = self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}").select(*empty.columns)
 
     def load(self) -> Graph:
         return Graph(*[self.table(n) for n in (*RAW, *DERIVED)])
