@@ -1,9 +1,10 @@
 """A read-only subset of the Cypher query language, lowered to DataFrames.
 
-Reading clauses: MATCH, OPTIONAL MATCH, WHERE, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT.  A
-pattern becomes a chain of equi-joins between the node and edge tables; paths of variable length
-are unrolled; the items of RETURN without an aggregate are the grouping.  A property that no node
-has is null.  Clauses that write raise ``UnsupportedCypher``.
+Reading clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, UNWIND, RETURN [DISTINCT], ORDER BY, SKIP,
+LIMIT and UNION [ALL].  A pattern becomes a chain of equi-joins between the node and edge tables;
+paths of variable length are unrolled; a pattern in a condition is a semi- or anti-join; the items
+of RETURN and WITH without an aggregate are the grouping.  A property that no node has is null.
+Clauses that write raise ``UnsupportedCypher``.
 """
 
 from __future__ import annotations
@@ -73,13 +74,29 @@ class Match:
 
 
 @dataclass
-class Query:
-    matches: list[Match] = field(default_factory=list)
+class Unwind:
+    value: tuple
+    name: str
+
+
+@dataclass
+class Projection:
+    """RETURN, or WITH, which may filter what it gives."""
+
     distinct: bool = False
     items: list[tuple[tuple, str]] = field(default_factory=list)
     order: list[tuple[tuple, bool]] = field(default_factory=list)
     skip: int = 0
     limit: int | None = None
+    where: tuple | None = None
+
+
+@dataclass
+class Query:
+    """Clauses in their order, the last one RETURN; ``union`` is what UNION adds, and whether ALL."""
+
+    clauses: list = field(default_factory=list)
+    union: tuple[Query, bool] | None = None
 
 
 class Parser:
@@ -139,44 +156,60 @@ class Parser:
         while True:
             if self.word() in _WRITING:
                 raise UnsupportedCypher(f"{self.word().upper()} is not a reading clause")
-            if self.word() in ("with", "unwind", "union"):
-                raise UnsupportedCypher(f"{self.word().upper()} is not supported")
             optional = self.take_word("optional")
-            if not self.take_word("match"):
+            if self.take_word("match"):
+                paths = [self.path()]
+                while self.take(","):
+                    paths.append(self.path())
+                q.clauses.append(Match(optional, paths, self.expression() if self.take_word("where") else None))
+            elif optional:
+                self.fail("expected MATCH")
+            elif self.take_word("unwind"):
+                value = self.expression()
+                if not self.take_word("as"):
+                    self.fail("expected AS")
+                q.clauses.append(Unwind(value, self.identifier()))
+            elif self.take_word("with"):
+                p = self.projection(True)
+                p.where = self.expression() if self.take_word("where") else None
+                q.clauses.append(p)
+            else:
                 break
-            paths = [self.path()]
-            while self.take(","):
-                paths.append(self.path())
-            q.matches.append(Match(optional, paths, self.expression() if self.take_word("where") else None))
         if not self.take_word("return"):
-            if self.word() in _WRITING:
-                raise UnsupportedCypher(f"{self.word().upper()} is not a reading clause")
             self.fail("expected MATCH or RETURN")
-        q.distinct = self.take_word("distinct")
+        q.clauses.append(self.projection(False))
+        if self.take_word("union"):
+            every = self.take_word("all")
+            q.union = (self.query(), every)
+            return q
+        self.take(";")
+        if self.at < len(self.tokens):
+            if self.word() in _WRITING:
+                raise UnsupportedCypher(f"{self.word().upper()} is not supported here")
+            self.fail("unexpected text")
+        return q
+
+    def projection(self, named: bool) -> Projection:
+        p = Projection(self.take_word("distinct"))
         if self.take("*"):
-            q.items = [(("all",), "*")]
+            p.items = [(("all",), "*")]
         else:
-            q.items.append(self.item())
-            while self.take(","):
-                q.items.append(self.item())
+            p.items.append(self.item(named))
+        while self.take(","):
+            p.items.append(self.item(named))
         if self.take_word("order", "by"):
             while True:
                 e = self.expression()
                 down = self.take_word("desc") or self.take_word("descending")
                 _ = down or self.take_word("asc") or self.take_word("ascending")
-                q.order.append((e, down))
+                p.order.append((e, down))
                 if not self.take(","):
                     break
         if self.take_word("skip"):
-            q.skip = self.number()
+            p.skip = self.number()
         if self.take_word("limit"):
-            q.limit = self.number()
-        self.take(";")
-        if self.at < len(self.tokens):
-            if self.word() in _WRITING | {"union"}:
-                raise UnsupportedCypher(f"{self.word().upper()} is not supported here")
-            self.fail("unexpected text")
-        return q
+            p.limit = self.number()
+        return p
 
     def number(self) -> int:
         if self.at < len(self.tokens) and self.tokens[self.at][0] == "number" and self.tokens[self.at][1].isdigit():
@@ -185,11 +218,14 @@ class Parser:
         self.fail("expected a number")
         raise AssertionError
 
-    def item(self) -> tuple[tuple, str]:
+    def item(self, named: bool) -> tuple[tuple, str]:
         first = self.at
         e = self.expression()
-        shown = self.text[self.ends[first][0] : self.ends[self.at - 1][1]]
-        return e, self.identifier() if self.take_word("as") else shown
+        if self.take_word("as"):
+            return e, self.identifier()
+        if named and e[0] != "name":
+            self.fail("WITH needs a name (AS)")
+        return e, self.text[self.ends[first][0] : self.ends[self.at - 1][1]].strip("`")
 
     def path(self) -> Path:
         name = None
@@ -346,7 +382,10 @@ class Parser:
             self.at += 1
             return ("value", int(text) if text.isdigit() else float(text))
         if kind == "op":
-            if self.take("("):
+            if text == "(":
+                if (path := self.pattern()) is not None:
+                    return ("pattern", path)
+                self.at += 1
                 e = self.expression()
                 self.need(")")
                 return e
@@ -365,6 +404,14 @@ class Parser:
         if word == "case":
             return self.case()
         name = self.identifier()
+        if name.lower() == "exists" and self.op() == "(":
+            self.at += 1
+            if (path := self.pattern()) is not None:
+                self.need(")")
+                return ("pattern", path)
+            e = self.expression()
+            self.need(")")
+            return ("not", ("null", e))
         if self.take("("):
             distinct = self.take_word("distinct")
             if self.take("*"):
@@ -378,6 +425,18 @@ class Parser:
             return ("call", name.lower(), distinct, *args)
         return ("name", name)
 
+    def pattern(self) -> Path | None:
+        """A path with an edge, if one stands here; else nothing is read."""
+        before = self.at
+        try:
+            path = self.path()
+        except CypherError:
+            path = None
+        if path is None or not path.edges or path.name:
+            self.at = before
+            return None
+        return path
+
     def case(self) -> tuple:
         self.take_word("case")
         subject = None if self.word() == "when" else self.expression()
@@ -570,8 +629,7 @@ class Lowering:
     def match(self, m: Match) -> None:
         if not m.optional or self.frame is None:
             self.frame = self._pattern(self.frame, m.paths)
-            if m.where is not None:
-                self.frame = self.frame.where(self.column(m.where))
+            self.frame = self.where(self.frame, m.where)
             return
         # The pattern is matched once for each combination of the known variables that it names.
         named = {n.name for path in m.paths for n in path.nodes} | (_variables(m.where) if m.where is not None else set())
@@ -581,13 +639,40 @@ class Lowering:
         keys = [f"{n}___key" for n in known]
         seeds = self.frame.select(*[c for c in self.frame.columns if any(c.startswith(f"{n}__") for n in known)]).dropDuplicates(keys)
         found = self._pattern(seeds, m.paths)
-        if m.where is not None:
-            found = found.where(self.column(m.where))
+        found = self.where(found, m.where)
         new = [c for c in found.columns if c not in seeds.columns]
         found = found.select(*[F.col(k).alias(f"_found_{k}") for k in keys], *new)
         same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_found_{k}")) for k in keys])
         self.frame = self.frame.join(found, same, "left").drop(*[f"_found_{k}" for k in keys])
 
+    def where(self, df: DataFrame, e: tuple | None) -> DataFrame:
+        """Rows for which a condition holds; patterns in it must stand alone or after NOT."""
+        if e is None:
+            return df
+        if e[0] == "and":
+            return self.where(self.where(df, e[1]), e[2])
+        if e[0] == "pattern":
+            return self._having(df, e[1], "left_semi")
+        if e[0] == "not" and e[1][0] == "pattern":
+            return self._having(df, e[1][1], "left_anti")
+        return df.where(self.column(e))
+
+    def _having(self, df: DataFrame, path: Path, how: str) -> DataFrame:
+        """Rows whose known nodes do (or do not) have such a path."""
+        known = sorted({n.name for n in path.nodes if self.kinds.get(n.name) == "node"})
+        if not known or any(n.name not in known and not n.name.startswith("_") for n in path.nodes):
+            raise UnsupportedCypher("a pattern in a condition must name known nodes, and no others")
+        kinds, keys = dict(self.kinds), [f"{n}___key" for n in known]
+        seeds = df.select(*[c for c in df.columns if any(c.startswith(f"{n}__") for n in known)]).dropDuplicates(keys)
+        found = self._pattern(seeds, [path]).select(*[F.col(k).alias(f"_found_{k}") for k in keys]).distinct()
+        self.kinds = kinds
+        return df.join(found, reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_found_{k}") for k in keys]), how)
+
+    def unwind(self, u: Unwind, spark: SparkSession) -> None:
+        df = self.frame if self.frame is not None else spark.range(1).select(F.lit(1).alias("_one"))
+        self.frame = df.withColumn(f"{u.name}__value", F.explode(self.column(u.value)))
+        self.kinds[u.name] = "value"
+
     # - expressions -
 
     def column(self, e: tuple) -> Column:
@@ -661,6 +746,8 @@ class Lowering:
             return F.col(f"{name}___ids")
         if kind == "path":
             return F.col(f"{name}___length")
+        if kind == "value":
+            return F.col(f"{name}__value")
         raise CypherError(f"{name} is not defined")
 
     def _property(self, of: tuple, key: str) -> Column:
@@ -688,9 +775,17 @@ class Lowering:
             kind = self.kinds.get(args[0][1])
             if kind in ("path", "edges"):
                 return F.col(f"{args[0][1]}___length").cast("long")
+        if name in ("startnode", "endnode") and args[0][0] == "name" and self.kinds.get(args[0][1]) == "edge":
+            return F.col(f"{args[0][1]}___{'src' if name == 'startnode' else 'dst'}")
+        if name in ("properties", "keys") and args[0][0] == "name" and self.kinds.get(args[0][1]) in ("node", "edge"):
+            own = NODE_PROPERTIES if self.kinds[args[0][1]] == "node" else EDGE_PROPERTIES
+            if name == "properties":
+                return F.struct(*[F.col(f"{args[0][1]}__{p}").alias(p) for p in own])
+            return F.array_compact(F.array(*[F.when(F.col(f"{args[0][1]}__{p}").isNotNull(), F.lit(p)) for p in own]))
         x = [self.column(a) for a in args]
         simple = {
             "tolower": F.lower, "toupper": F.upper, "trim": F.trim, "ltrim": F.ltrim, "rtrim": F.rtrim, "abs": F.abs, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max,
+            "round": F.round, "floor": F.floor, "ceil": F.ceil, "sqrt": F.sqrt, "sign": F.signum, "reverse": F.reverse,
             "tostring": lambda c: c.cast("string"), "tointeger": lambda c: c.cast("long"), "tofloat": lambda c: c.cast("double"), "head": lambda c: F.try_element_at(c, F.lit(1)), "last": lambda c: F.try_element_at(c, F.lit(-1)),
             "collect": lambda c: F.sort_array(F.collect_set(c) if distinct else F.collect_list(c)), "length": lambda c: F.length(c).cast("long"),
         }
@@ -704,6 +799,10 @@ class Lowering:
             return F.split(x[0], "\\Q" + str(args[1][1]) + "\\E")
         if name == "substring":
             return F.substring(x[0], x[1].cast("int") + 1, x[2].cast("int") if len(x) > 2 else F.lit(1 << 30))
+        if name in ("left", "right") and len(x) == 2:
+            return getattr(F, name)(x[0], x[1])
+        if name == "range":
+            return F.sequence(*x)
         if name == "timestamp" and not x:
             return F.unix_millis(F.current_timestamp())
         if name == "sum" and distinct:
@@ -727,13 +826,52 @@ class Lowering:
     # - the query -
 
     def run(self, q: Query, spark: SparkSession) -> DataFrame:
-        for m in q.matches:
-            self.match(m)
+        for clause in q.clauses[:-1]:
+            if isinstance(clause, Match):
+                self.match(clause)
+            elif isinstance(clause, Unwind):
+                self.unwind(clause, spark)
+            else:
+                self.carry(clause, spark)
+        return self.give(q.clauses[-1], spark)
+
+    def _items(self, p: Projection) -> list[tuple[tuple, str]]:
+        every = [(("name", n), n) for n in self.kinds if not n.startswith("_")]
+        return [x for item in p.items for x in (every if item == (("all",), "*") else [item])]
+
+    def carry(self, p: Projection, spark: SparkSession) -> None:
+        """WITH: what later clauses know are its items; nodes and edges stay what they are."""
+        df = self.frame if self.frame is not None else spark.range(1)
+        items = self._items(p)
+        groups, measured, kinds = [], [], {}
+        for e, name in items:
+            kind = self.kinds.get(e[1]) if e[0] == "name" else None
+            if kind in ("node", "edge", "edges", "path"):
+                old = [c for c in df.columns if c.startswith(f"{e[1]}__")]
+                groups += [F.col(c).alias(f"{name}__{c[len(e[1]) + 2:]}") for c in old]
+                kinds[name] = kind
+            else:
+                (measured if _aggregates(e) else groups).append(self.column(e).alias(f"{name}__value"))
+                kinds[name] = "value"
+        if measured:
+            df = df.groupBy(*groups).agg(*measured)
+        else:
+            df = df.select(*groups)
+            df = df.distinct() if p.distinct else df
+        self.frame, self.kinds = df, kinds
+        if p.order:
+            order = [(c.desc_nulls_first() if down else c.asc_nulls_last()) for c, down in ((self.column(_renamed(e, items)), down) for e, down in p.order)]
+            self.frame = self.frame.orderBy(*order, *[F.col(c) for c in sorted(self.frame.columns)])
+        if p.skip:
+            self.frame = self.frame.offset(p.skip)
+        if p.limit is not None:
+            self.frame = self.frame.limit(p.limit)
+        self.frame = self.where(self.frame, p.where)
+
+    def give(self, q: Projection, spark: SparkSession) -> DataFrame:
         if self.frame is None:
             self.frame = spark.range(1)
-        items = q.items
-        if items == [(("all",), "*")]:
-            items = [(("name", n), n) for n in self.kinds if not n.startswith("_")]
+        items = self._items(q)
         names = _unique([n for _, n in items])
         values = [self.column(e).alias(f"_v{k}") for k, (e, _) in enumerate(items)]
         same = {repr(e): k for k, (e, _) in enumerate(items)} | {repr(("name", n)): k for k, (_, n) in enumerate(items) if n not in self.kinds}
@@ -771,6 +909,14 @@ def _aggregates(e) -> bool:
     return isinstance(e, tuple | list) and any(_aggregates(x) for x in e if isinstance(x, tuple | list))
 
 
+def _renamed(e, items: list[tuple[tuple, str]]):
+    """An ORDER BY expression in the names that WITH gives."""
+    for old, name in items:
+        if e == old:
+            return ("name", name)
+    return tuple(_renamed(x, items) if isinstance(x, tuple) else x for x in e)
+
+
 def _variables(e) -> set[str]:
     if isinstance(e, tuple) and len(e) == 2 and e[0] == "name":
         return {e[1]}
@@ -788,4 +934,17 @@ def _unique(names: list[str]) -> list[str]:
 
 def cypher(graph: Graph, text: str, metadata: DataFrame | None = None) -> DataFrame:
     """The rows of a query over a graph; columns are named by their alias or their text."""
-    return Lowering(Tables(graph, metadata)).run(parse(text), graph.files.sparkSession)
+    q, out, spark = parse(text), None, graph.files.sparkSession
+    every = True
+    while True:
+        rows = Lowering(Tables(graph, metadata)).run(q, spark)
+        if out is not None:
+            if len(out.columns) != len(rows.columns):
+                raise CypherError("the parts of a UNION differ in their number of columns")
+            out = out.union(rows)
+            out = out if every else out.distinct()
+        else:
+            out = rows
+        if q.union is None:
+            return out
+        q, every = q.union
