@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows of each class to fit on at most, and bytes of the longest text among them.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 17
+#: Labelled rows of each class to fit on at most.
+SAMPLE_ROWS = 4000
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, float]]:
     """(doc_id, text, y) drawn by a hash of the id, and what each drawn row of a class weighs.
 
-    Only rows that the folds leave for learning are drawn (crc32 of the id, modulo 5, not 0).
+    Texts are whole and stay with the executors; callers fetch what they measure on them.  Only rows that the folds leave for learning are drawn (crc32 of the id, modulo 5, not 0).
     The draw is a top-n in each task, so labels may have any number of rows.
     """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (common.remainder() != 0)).select("doc_id", F.col(column).cast("int").alias("y"))
@@ -26,5 +26,5 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_R
     if drawn is None:
         drawn = known
     drawn = common.written(drawn, "labels")
-    found = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # 2 * rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # 2 * rows at most
     return found, {y: n / min(n, rows) for y, n in sizes.items()}

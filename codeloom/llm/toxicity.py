@@ -79,14 +79,8 @@ class Model:
         return float(1 / (1 + np.exp(-s)))
 
 
-def fit(rows: list[tuple[set[str], int, float]], counterfactual: float = COUNTERFACTUAL, seed: int = SEED) -> Model:
-    """Fit to (words, label, weight); rows that agree in their sketch and label count once."""
-    kept, seen = [], set()
-    for found, y, w in rows:
-        key = (sketch(found), y)
-        if not found or key not in seen:
-            seen.add(key)
-            kept.append((found, y, w))
+def fit(kept: list[tuple[set[str], int, float]], counterfactual: float = COUNTERFACTUAL, seed: int = SEED) -> Model:
+    """Fit to (words, label, weight)."""
     if not kept:
         return Model(0.0, {}, False)
     y, weight = np.array([r[1] for r in kept], np.float32), np.array([r[2] for r in kept], np.float32)
@@ -137,10 +131,40 @@ def fit(rows: list[tuple[set[str], int, float]], counterfactual: float = COUNTER
     return Model(float(b), {t: float(w[k]) for t, k in at.items() if abs(w[k]) > 1e-4})
 
 
+def _words(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, the distinct words and their sketch."""
+
+    def make():
+        def run(texts):
+            sets = [words((t or b"").decode()) for t in texts]
+            return {"words": [sorted(s) for s in sets], "sketch": [b"".join(sketch(s)) for s in sets]}
+
+        return run
+
+    return common.map_texts(docs, keep, "text", make, pa.schema([("words", pa.list_(pa.string())), ("sketch", pa.binary())]), "words array<string>, sketch binary")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit to a sample of labelled rows; those that agree in sketch and label count once.
+
+    Evidence is counted where the words are; the driver gets the words that have enough of it,
+    and of each row only those.
+    """
     drawn, weights = labelled.sample(docs, labels, "toxic")
-    rows = sorted(drawn.select("doc_id", "y", "text").collect())
-    return fit([(words(r.text or ""), r.y, weights[r.y]) for r in rows])
+    rows = common.written(_words(drawn, ["doc_id", "y"]), "words")
+    rows = common.written(rows.groupBy("sketch", "y").agg(F.min_by(F.struct("doc_id", "words"), F.struct("doc_id", "words")).alias("r")).select("y", "r.*"), "rows")
+    known = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = sum(known.values())
+    if not n:
+        return Model(0.0, {}, False)
+    share = known.get(1, 0) / n
+    tally = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("with"), F.sum("y").alias("toxic"))
+    spread = F.lit(share * (1 - share)) * F.col("with") * (1 - F.col("with") / F.lit(n))
+    found = tally.withColumn("evidence", (F.col("toxic") - F.col("with") * share) ** 2 / F.greatest(spread, F.lit(1e-9))).where(F.col("evidence") >= EVIDENCE / 2)
+    chosen = {r.word for r in found.orderBy(F.desc("evidence"), "word").limit(2 * VOCABULARY).collect()} | TERMS
+    lists = rows.select("doc_id", "y", F.array_intersect("words", F.array(*map(F.lit, sorted(chosen)))).alias("words")).collect()
+    lists.sort(key=lambda r: (r.y, r.doc_id, r.words))
+    return fit([(set(r.words), r.y, weights[r.y]) for r in lists])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
