@@ -22,8 +22,9 @@ from . import common
 from .contexts import Tree, costs, grams
 
 ORDER = 3
-#: Rows of each language to learn from at most, and bytes of the longest among them.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
+#: Rows of each language to learn from at most, and characters of each: a stretch from a place
+#: that a hash chooses.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 1 << 13
 UNKNOWN = "und"
 
 
@@ -87,9 +88,11 @@ def learn(rows: DataFrame, order: int = ORDER, sample: int = SAMPLE_ROWS) -> Mod
     share: Column = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-2 * sample * (1 << 20) // n)))).otherwise(share)
-    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text")).where((F.pmod("h", F.lit(1 << 20)) < share) & (F.octet_length("text") <= SAMPLE_BYTES))
+    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1 << 20)) < share)
+    start = F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)))
+    drawn = drawn.select("lang", "h", F.substring("text", start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"))
     texts: dict[str, list[bytes]] = {}
-    for r in sorted(drawn.select("lang", "text", "h").collect(), key=lambda r: (r.h, r.text)):
+    for r in sorted(drawn.collect(), key=lambda r: (r.h, r.text)):
         if len(texts.setdefault(r.lang, [])) < sample:
             texts[r.lang].append(r.text.encode())
     return Model(texts, order)
