@@ -8,9 +8,12 @@ being read.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.build import DERIVED, RAW, Graph
 
@@ -32,6 +35,12 @@ SCHEMAS = {
 #: Tables that are laid out by a column, so that a scan of one label reads only its files.
 PARTITIONED = {"symbols": "label"}
 LAST_COMMIT = "last_indexed_commit"
+#: Tables that are written at the same time.
+WRITERS = 6
+
+
+def _fields(table: str) -> list[str]:
+    return StructType.fromDDL(SCHEMAS[table]).fieldNames()
 
 
 class Store:
@@ -79,8 +88,7 @@ class Store:
         folder = self.current()
         if folder is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        empty = self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}").select(*empty.columns)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}").select(*_fields(name))
 
     def load(self) -> Graph:
         return Graph(*[self.table(n) for n in (*RAW, *DERIVED)])
@@ -89,23 +97,28 @@ class Store:
         """Write all tables as a new snapshot and make it count."""
         metadata = metadata if metadata is not None else self.table("metadata")
         name = f"v-{uuid.uuid4().hex}"
-        for table, df in (graph.tables() | {"metadata": metadata}).items():
-            fields = self.spark.createDataFrame([], SCHEMAS[table]).columns
-            writer = df.select(*fields).write
-            if table in PARTITIONED:
-                writer = writer.partitionBy(PARTITIONED[table])
-            writer.parquet(f"{self.path}/{name}/{table}")
+        self._write(graph.tables() | {"metadata": metadata}, f"{self.path}/{name}")
         self._point(name)
         return f"{self.path}/{name}"
 
+    def _write(self, tables: dict[str, DataFrame], folder: str) -> None:
+        """Write tables side by side: each is a job of its own, and most are small."""
+
+        def one(item: tuple[str, DataFrame]) -> None:
+            table, df = item
+            writer = df.select(*_fields(table)).write
+            if table in PARTITIONED:
+                writer = writer.partitionBy(PARTITIONED[table])
+            writer.parquet(f"{folder}/{table}")
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(one), tables.items()))
+
     def stage(self, raw: Graph) -> Graph:
         """Write the raw tables to a scratch folder and read them back: they are derived from often."""
         folder = f"{self.path}/tmp-{uuid.uuid4().hex}"
-        tables = {}
-        for name in RAW:
-            getattr(raw, name).write.parquet(f"{folder}/{name}")
-            tables[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
-        return Graph(**tables)
+        self._write({name: getattr(raw, name) for name in RAW}, folder)
+        return Graph(**{name: self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}") for name in RAW})
 
     def vacuum(self) -> None:
         """Delete snapshots and scratch folders that do not count."""

@@ -250,10 +250,13 @@ def test_index_and_update_equal_indexing_anew(spark, repo, tmp_path):
         store.set_metadata(LAST_COMMIT, commit(repo))
 
     check(lambda: None, [])
-    check(lambda: write(repo, {"pkg/a.py": "# shifted\n" + FILES["pkg/a.py"]}), [("pkg/a.py", "Modified")])
-    check(lambda: write(repo, {"new/deep/n.rs": "fn helper() { inner() }\n", "new/u.md": ""}), [("new/deep/n.rs", "Added")])
-    check(lambda: os.remove(repo / "main.go"), [("main.go", "Deleted")])
-    check(lambda: os.rename(repo / "pkg/a.py", repo / "pkg/b.py"), [("pkg/a.py", "Deleted"), ("pkg/b.py", "Added")])
+    check(lambda: write(repo, {"pkg/a.py": "# shifted\n" + FILES["pkg/a.py"], "new/deep/n.rs": "fn helper() { inner() }\n", "new/u.md": ""}), [("new/deep/n.rs", "Added"), ("pkg/a.py", "Modified")])
+
+    def move():
+        os.remove(repo / "main.go")
+        os.rename(repo / "pkg/a.py", repo / "pkg/b.py")
+
+    check(move, [("main.go", "Deleted"), ("pkg/a.py", "Deleted"), ("pkg/b.py", "Added")])
 
 
 def test_update_skips_what_is_stored(spark, repo, tmp_path):
