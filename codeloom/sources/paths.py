@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from ..plans.shipping import ship
 
 #: Folders that are never indexed; fixed values.
 IGNORED = ("node_modules", "target", ".git", "vendor", "dist", "build", "__pycache__", ".venv", "venv")
@@ -155,6 +156,7 @@ def read(files: DataFrame, root: str, partitions: int | None = None) -> DataFram
     other root is read by Spark's own file source and joined by path.
     """
     spark = files.sparkSession
+    ship(spark)
     local = local_root(root)
     if local is not None:
         spread = files.repartition(partitions or spark.sparkContext.defaultParallelism * 2, "path")

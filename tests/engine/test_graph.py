@@ -275,6 +275,8 @@ def test_paths_are_relative_to_the_repository(spark, repo, tmp_path):
     write(repo, {"pkg/a.py": "def only(): pass\n"})
     index.update(spark, str(repo / "pkg"), store)
     assert [r.name for r in store.load().symbols.collect()] == ["only"]
+    index.full_index(spark, str(repo / "pkg"), store, compat=True)
+    assert [r.path for r in store.load().files.collect()] == ["a.py"]
 
 
 def test_no_clear_delete_and_metadata(spark, repo, tmp_path):
