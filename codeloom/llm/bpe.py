@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pieces that a worker remembers before it starts afresh.
-CACHE_PIECES = 300_000
+#: Pieces that a worker remembers, half of them from before it last made room: what is met again
+#: stays, the rest goes.
+CACHE_PIECES = 320_000
 
 
 def byte_characters() -> list[str]:
@@ -84,6 +85,7 @@ class Codec:
         self.ranks = ranks
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.rank_of_piece = [-1, *sorted(ranks.values())]
+        self.shown_piece = list(map(str, self.rank_of_piece))
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
         chars = byte_characters()
         self.table = {b: chars[b] for b in range(256)}
@@ -91,6 +93,7 @@ class Codec:
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.ids_of: dict[str, tuple[int, ...]] = {}
         self.text_of: dict[str, str] = {}
+        self.older: tuple[dict[str, tuple[int, ...]], dict[str, str]] = ({}, {})
 
     def pretokens(self, tokens: list[str]) -> list[tuple[int, ...]]:
         """Ids of each pre-token; one that is itself in the table is a single id."""
@@ -110,14 +113,43 @@ class Codec:
         return out  # type: ignore[return-value]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Put the ids of pieces of text, each split on its own, into the cache."""
-        pieces = list(pieces)
-        split = [(p,) if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.find(p) for p in pieces]
+        """Put the ids of pieces of text, each split on its own, into the cache.
+
+        Most are letters behind a space: one pre-token, which is its own image if it is ASCII.
+        """
+        words, others, ids_of, text_of, ranks = [], [], self.ids_of, self.text_of, self.ranks
+        for p in pieces:
+            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                rank = ranks.get(p.encode())
+                if rank is None:
+                    words.append(p)
+                else:
+                    ids_of[p], text_of[p] = (rank,), str(rank)
+            else:
+                others.append(p)
+        space = self.table[0x20]
+        mapped = [(space + p[1:] if p[0] == " " else p) if p.isascii() else p.encode().decode("latin-1").translate(self.table) for p in words]
+        rank_of, shown = self.rank_of_piece, self.shown_piece
+        for p, found in zip(words, self.model.encode(mapped, num_threads=1) if words else (), strict=True):
+            ids_of[p], text_of[p] = tuple([rank_of[i] for i in found]), ",".join([shown[i] for i in found])
+        split = [self.find(p) for p in others]
         flat = iter(self.pretokens(list(chain.from_iterable(split))))
-        for piece, tokens in zip(pieces, split, strict=True):
-            ids = next(flat) if len(tokens) == 1 else tuple(chain.from_iterable(islice(flat, len(tokens))))
-            self.ids_of[piece] = ids
-            self.text_of[piece] = str(ids)[1:-1].replace(" ", "").rstrip(",")
+        for p, tokens in zip(others, split, strict=True):
+            ids_of[p] = ids = tuple(chain.from_iterable(islice(flat, len(tokens))))
+            text_of[p] = ",".join(map(str, ids))
+
+    def unknown(self, wanted: set[str]) -> set[str]:
+        """Pieces that are in neither half of the cache; those of the older half move over."""
+        if len(self.ids_of) + len(wanted) > CACHE_PIECES // 2:
+            self.older, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
+        known, shown, (ids, texts) = self.ids_of, self.text_of, self.older
+        new = set()
+        for p in wanted.difference(known):
+            if p in ids:
+                known[p], shown[p] = ids[p], texts[p]
+            else:
+                new.add(p)
+        return new
 
     def encode_batch(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """For each text its ids and the ids as text.
@@ -130,16 +162,13 @@ class Codec:
             first, *rest = text.split(" ")
             cuts.append([first, *map(" ".__add__, rest)])
         wanted = set(chain.from_iterable(cuts))
-        if len(self.ids_of) + len(wanted) > CACHE_PIECES:
-            self.ids_of, self.text_of = {}, {}
-        known = self.ids_of
-        new = {p for p in wanted if p not in known}
+        new = self.unknown(wanted)
         odd = {p for p in new if not p or p == " " or p[-1].isspace() or p[p[0] == " "].isspace()}
         if odd:
             for i, pieces in enumerate(cuts):
                 if not odd.isdisjoint(pieces):
                     cuts[i] = self.find(texts[i])
-            new = {p for p in chain.from_iterable(cuts) if p not in known}
+            new = self.unknown(set(chain.from_iterable(cuts)))
         self.learn(new)
         ids, shown = self.ids_of.__getitem__, self.text_of.__getitem__
         return [(list(chain.from_iterable(map(ids, c))), ",".join(map(shown, c))) for c in cuts]
