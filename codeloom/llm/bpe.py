@@ -76,6 +76,11 @@ def model_proto(ranks: dict[bytes, int]) -> bytes:
     return b"".join([*out, _field(2, trainer), _field(3, normalizer)])
 
 
+def odd(piece: str) -> bool:
+    """Whether white space beside a piece may join it, so that cutting at spaces is not enough."""
+    return not piece or piece == " " or piece[-1].isspace() or piece[piece[0] == " "].isspace()
+
+
 class Codec:
     """Encode and decode with one rank table."""
 
@@ -93,6 +98,7 @@ class Codec:
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.ids_of: dict[str, tuple[int, ...]] = {}
         self.text_of: dict[str, str] = {}
+        self.odd: set[str] = set()
         self.older: tuple[dict[str, tuple[int, ...]], dict[str, str]] = ({}, {})
 
     def pretokens(self, tokens: list[str]) -> list[tuple[int, ...]]:
@@ -132,6 +138,7 @@ class Codec:
         rank_of, shown = self.rank_of_piece, self.shown_piece
         for p, found in zip(words, self.model.encode(mapped, num_threads=1) if words else (), strict=True):
             ids_of[p], text_of[p] = tuple([rank_of[i] for i in found]), ",".join([shown[i] for i in found])
+        self.odd.update(filter(odd, others))
         split = [self.find(p) for p in others]
         flat = iter(self.pretokens(list(chain.from_iterable(split))))
         for p, tokens in zip(others, split, strict=True):
@@ -163,10 +170,11 @@ class Codec:
             cuts.append([first, *map(" ".__add__, rest)])
         wanted = set(chain.from_iterable(cuts))
         new = self.unknown(wanted)
-        odd = {p for p in new if not p or p == " " or p[-1].isspace() or p[p[0] == " "].isspace()}
-        if odd:
+        # White space that is known as a pre-token of its own still calls for the pattern here.
+        strange = set(filter(odd, new)) | (self.odd & wanted)
+        if strange:
             for i, pieces in enumerate(cuts):
-                if not odd.isdisjoint(pieces):
+                if not strange.isdisjoint(pieces):
                     cuts[i] = self.find(texts[i])
             new = self.unknown(set(chain.from_iterable(cuts)))
         self.learn(new)

@@ -35,6 +35,22 @@ def test_same_ids_as_the_library(codec, oracle):
         assert codec.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", None])
+def test_white_space_that_is_known_already(name):
+    """What one batch has learnt must not change how another is cut."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"  ": 256, b"  \n": 257, b" \n": 258, b"\n ": 259, b"   ": 260}
+    if name:
+        with open(public_tokenizers.path(name), "rb") as f:
+            ranks = bpe.read_ranks(f)
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    oracle = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    texts = ["a  b", "a   b", "x \n", "a \n  b", " \n", "\n\n", "a\n\n b", "  ", "a    b", "c\t d", "\t", "e \t f"]
+    texts += ["".join(rng.choice(["a", "bc", " ", " ", "\n", "\t", "é", ".", "1"]) for _ in range(rng.randint(1, 14))) for _ in range(800)]
+    for text in texts:
+        assert codec.encode(text) == oracle.encode_ordinary(text), repr(text)
+
+
 def test_cache_starts_afresh(codec, oracle, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
     for text in ["one two three four five six seven", "eight nine ten eleven", "one two"]:
