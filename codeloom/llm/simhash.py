@@ -192,7 +192,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 # one of BANDS rows of least hashes, once their shingles have been compared in full.
 
 STAGE_WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS, ORDERS = 20, 4, 3
+BANDS, ROWS = 20, 4
+#: Rounds of comparison across the groups that still meet in a bucket, after the first one.
+ROUNDS = 3
 _LEAST = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) << np.uint64(1)
 _LEAST[0] |= np.uint64(1)
 
@@ -237,44 +239,94 @@ def _sketches(placed: DataFrame) -> DataFrame:
 
 
 def _shingles(placed: DataFrame) -> DataFrame:
-    """sid and the set of shingles, as 64-bit numbers."""
+    """sid and the set of shingles, as 32-bit numbers."""
 
     def make():
         def run(texts):
-            sets = [np.unique(np.array(shingle_hashes(t, STAGE_WORDS), np.uint64)).view(np.int64) for t in texts]
+            sets = [np.unique((np.array(shingle_hashes(t, STAGE_WORDS), np.uint64) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in texts]
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            return {"shingles": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))}
+            return {"shingles": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))}
 
         return run
 
-    return common.map_texts(placed, ["sid"], "text", make, pa.schema([("shingles", pa.list_(pa.int64()))]), "shingles array<bigint>")
+    return common.map_texts(placed, ["sid"], "text", make, pa.schema([("shingles", pa.list_(pa.int32()))]), "shingles array<int>")
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share a bucket, from ``sid`` and ``bands``.
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) from ``sid`` and the sets ``others`` that it is compared with."""
+    pairs = rows.select("sid", F.explode(F.array_distinct("others")).alias("other")).where("sid != other")
+    return pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
 
-    Each bucket of a band pairs its members with ORDERS pivots, so the pairs grow with the
-    members and not with their square; a group is joined through the pivots of all its bands.
+
+def first_pairs(shared: DataFrame) -> DataFrame:
+    """Each bucket's members with its pivots: the set that meets most others, and two by hash.
+
+    ``shared``: sid, key and n, the members of the bucket.  Pairs grow with the members of
+    buckets and not with their square.
+    """
+    central = shared.groupBy("sid").agg(F.sum(F.col("n") - 1).alias("meets"))
+    ranked = common.written(shared.join(central.hint("merge"), "sid"), "ranked")
+    order = lambda k: F.xxhash64(F.lit(k), "sid")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("meets", order(0).alias("h"), "sid")).alias("p0"), F.min(F.struct(order(1).alias("h"), "sid")).alias("p1"), F.min(F.struct(order(2).alias("h"), "sid")).alias("p2"))
+    pivots = common.written(pivots.select("key", F.array("p0.sid", "p1.sid", "p2.sid").alias("others")), "pivots")
+    return _pairs(ranked.select("sid", "key").join(pivots.hint("merge"), "key"))
+
+
+def more_pairs(shared: DataFrame, member: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs across the groups that still meet in a bucket: members outside its largest group
+    with one of that group, and all outside another group with one of that.  Also the buckets
+    (sid, key) in which groups meet; the others need no further look."""
+    rows = shared.select("sid", "key").join(member.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").select("sid", "key", F.coalesce("root", "sid").alias("root"))
+    rows = common.written(rows, "grouped")
+    groups = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), "sid")).alias("one"))
+    groups = common.written(groups.select("key", "root", "n", F.col("one.sid").alias("pivot")), "groups")
+    largest = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root", "pivot")).alias("big")).where("groups > 1").select("key", "big")
+    others = groups.join(largest, "key").where("root != big.root").groupBy("key").agg(F.first("big").alias("big"), F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), "root", "pivot")).alias("small"))
+    others = common.written(others.select("key", F.struct("big.root", "big.pivot").alias("big"), F.struct("small.root", "small.pivot").alias("small")), "others")
+    outside = F.filter(F.array("big", "small"), lambda x: x.root != F.col("root"))
+    met = common.written(rows.join(others.hint("merge"), "key").select("sid", "key", F.transform(outside, lambda x: x.pivot).alias("others")), "met")
+    return _pairs(met), met.select("sid", "key")
+
+
+def similar(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """Those pairs whose sets share enough of what either has."""
+    left = pairs.join(shingles.withColumnsRenamed({"sid": "a", "shingles": "x"}), "a")
+    both = left.join(shingles.withColumnsRenamed({"sid": "b", "shingles": "y"}), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("x"), F.col("b").alias("y"))
+
+
+def groups_of_sets(placed: DataFrame, sets: DataFrame, links: DataFrame, similarity: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
+    """(node, root) of the groups that ``links`` and similar sets of shingles form.
+
+    ``sets`` has sid, bands and the place of one document with that set; its text is read again
+    if the set meets another in a bucket.
     """
     buckets = common.written(sets.select("sid", F.explode("bands").alias("key")), "bands")
-    pivots = buckets.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), "sid")).alias(f"p{k}") for k in range(ORDERS)])
-    pivots = common.written(pivots.where("n > 1").select("key", F.array_distinct(F.array(*[f"p{k}.sid" for k in range(ORDERS)])).alias("pivots")), "pivots")
-    pairs = buckets.join(pivots.hint("merge"), "key").select("sid", F.explode("pivots").alias("pivot")).where("sid != pivot")
-    return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-
-
-def similar_sets(placed: DataFrame, sets: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between sets of shingles that are similar; ``sets`` has sid, bands and the
-    place of one document with that set, whose text is read again if the set is in a pair."""
-    pairs = common.written(candidate_pairs(sets), "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = common.written(sets.select("sid", "least._at").join(wanted, "sid").select("sid", F.col("_at").alias("_place")), "wanted")
+    sizes = common.written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = common.written(buckets.join(sizes.hint("merge"), "key"), "shared")
+    wanted = sets.select("sid", "least._at").join(shared.select("sid").distinct().hint("merge"), "sid").select("sid", F.col("_at").alias("_place"))
+    wanted = common.written(wanted, "wanted")
     texts = placed.select("_at", "text").join(wanted.hint("merge"), F.col("_at") == F.col("_place")).select("sid", "text")
-    whole = common.written(_shingles(texts), "shingles")
-    left = pairs.join(whole.withColumnsRenamed({"sid": "a", "shingles": "x"}), "a")
-    both = left.join(whole.withColumnsRenamed({"sid": "b", "shingles": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return common.written(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar")
+    shingles = common.written(_shingles(texts), "shingles")
+    links = links.unionByName(common.written(similar(common.written(first_pairs(shared), "pairs"), shingles, similarity), "similar"))
+    member = components(links, "x", "y")
+    known = member.unionByName(shared.select(F.col("sid").alias("node")).distinct().withColumn("root", F.col("node")), allowMissingColumns=True)
+    member = common.written(known.groupBy("node").agg(F.min("root").alias("root")), "members")
+    for turn in range(rounds):
+        pairs, shared = more_pairs(shared, member, turn)
+        found = common.written(similar(common.written(pairs, "pairs"), shingles, similarity), "similar")
+        if not found.isEmpty():
+            member = common.written(_joined(member, found), "members")
+    return member
+
+
+def _joined(member: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups after more links (x, y): whole groups are joined, not their members again."""
+    of = lambda c, name: member.select(F.col("node").alias(c), F.col("root").alias(name))
+    between = links.join(of("x", "rx"), "x").join(of("y", "ry"), "y").select("rx", "ry")
+    moved = components(between, "rx", "ry").select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    return member.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR) -> DataFrame:
@@ -292,8 +344,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     close = near(heads.select("fp"), radius)
     close = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     same = sets.select("sid", "fp").join(heads, "fp").select(F.col("sid").alias("x"), F.col("head").alias("y")).where("x != y")
-    links = close.unionByName(same).unionByName(similar_sets(placed, sets, similarity).toDF("x", "y"))
-    member = components(links, "x", "y")
+    member = groups_of_sets(placed, sets, common.written(close.unionByName(same), "close"), similarity)
     named = common.written(sets.select("sid", "least").join(member, sets.sid == member.node, "left").select("least", F.coalesce("root", "sid").alias("root")), "named")
     kept = common.written(named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._at").alias("_kept")), "kept")
     return placed.select("_row", "_at").join(kept.hint("merge"), F.col("_at") == F.col("_kept"), "left_semi").select("_row.*")

@@ -135,6 +135,24 @@ def test_one_of_each(spark, make_tables, files):
     assert 20 < len(want) < len(rows)
 
 
+def test_copies_of_one_original_meet(spark):
+    """Copies that are similar to their original, and to each other less than that."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(160):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randint(2, 5)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    prints = [brute_fingerprint(t, 5) for t in texts]
+    groups = brute_groups(len(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3 or jaccard(texts[a], texts[b]) >= 0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups))
+    assert sum(jaccard(texts[0], t) < 0.8 for t in texts) > 30
+
+
 def test_forest_spans_components():
     rng = random.Random(6)
     values = near_values(rng, 200)
