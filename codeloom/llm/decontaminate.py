@@ -19,6 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -134,7 +135,8 @@ def _words(column: str):
 def by_join(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """The same result for a benchmark too large for one machine: windows meet in a join.
 
-    ``doc_id`` must be unique.  Items have ``item`` (text) and ``text``.
+    ``doc_id`` must be unique.  Items have ``item`` (text) and ``text``.  ``hit`` are the
+    numbers of hit words, from which ``_placed`` finds the places.
     """
     cut = items.select("item", _words("text").alias("w")).where(F.size("w") > 0)
     grams = cut.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: F.slice("w", i + 1, size))).alias("g")).distinct()
@@ -151,11 +153,24 @@ def by_join(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         hits = one if hits is None else hits.unionByName(one)
     if hits is None:
         hits = docs.sparkSession.createDataFrame([], f"doc {docs.schema[doc_id].dataType.simpleString()}, i int, n int, item string")
-    marked = hits.select("doc", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("p")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
+    marked = hits.select("doc", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("p")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"), F.sort_array(F.collect_list("p")).alias("hit"))
     owned = hits.select("doc", "item").distinct().groupBy("doc").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_set("item"))).alias("ids"))
     got = table.select("doc", F.size("w").cast("long").alias("n_words")).join(marked, "doc", "left").join(owned, "doc", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return got.select(F.col("doc").alias(doc_id), "n_words", zero(F.col("n_hit")).alias("n_hit"), zero(F.col("n_items")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (zero(F.col("n_hit")) > 0).alias("contaminated"))
+    return got.select(F.col("doc").alias(doc_id), "n_words", zero(F.col("n_hit")).alias("n_hit"), zero(F.col("n_items")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (zero(F.col("n_hit")) > 0).alias("contaminated"), "hit")
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """``found`` with ``places`` beside the numbers of hit words."""
+    common.ship(found.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts, hits = batch.column("text").cast(pa.large_binary()), batch.column("hit")
+            at = [[list(p) for p in places(t.as_py().decode(), n.as_py())] if n.is_valid else [] for t, n in zip(texts, hits, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.list_(pa.list_(pa.int32())))], names=[*batch.schema.names, "places"])
+
+    return found.mapInArrow(run, T.StructType([*found.schema, T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType())))]))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
@@ -164,10 +179,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     if (items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0) <= limit:
         return by_automaton(docs, tuple(sorted((r.item, r.text.encode()) for r in items.collect())), keep, text)
     # A window of n words becomes n times its text in the automaton: this many bytes no worker holds.
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    numbered = common.written(numbered.select("_row", *dict.fromkeys([*keep, text])), "scan")
-    found = by_join(numbered, items, "_row", text)
-    return numbered.select("_row", *keep).join(found, "_row").drop("_row")
+    # What the caller keeps is one column, so that none of its names meets those made here.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(keep or [F.lit(0)])).alias("kept"), F.col(text).alias("text"))
+    numbered = common.written(numbered, "scan")
+    found = _placed(numbered.join(by_join(numbered, items, "row"), "row"))
+    return found.select(*[F.col("kept").getField(c).alias(c) for c in keep], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "places")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

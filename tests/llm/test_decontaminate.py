@@ -77,3 +77,16 @@ def test_long_text():
     n, hit, items = scan(b"q " * 500_000 + b"x y z")
     assert (n, hit, items) == (500_003, [500_000, 500_001, 500_002], {"a"})
     assert common.cut([1, 2, 3]).__next__() == (0, 3)
+
+
+def test_both_ways_keep_any_columns_and_give_places(spark):
+    docs, items = fixture(3)
+    names = ("_row", "row", "kept", "hit", "places", "doc")
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    b = spark.createDataFrame(items, "item_id long, text string")
+    keep = ["doc_id", "text", "_row", "row", "kept", "hit", "doc"]
+    one, other = (decontaminate.scan(d, b, keep, limit=n) for n in (1 << 20, 0))
+    assert one.columns == other.columns
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
+    assert other.select("_row", "doc").distinct().collect() == [("_row", "doc")]
+    assert other.where("size(places) > 0").count() > 10

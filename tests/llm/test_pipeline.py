@@ -9,7 +9,7 @@ from test_quality import text as sample_text
 from test_simhash import brute_fingerprint, brute_groups, jaccard
 
 import corpus_pipeline
-from codeloom.llm import common, pii, quality
+from codeloom.llm import common, decontaminate, pii, quality
 
 
 def tables():
@@ -88,5 +88,16 @@ def test_other_columns_stay(spark, make_tables):
         docs = out
 
 
+def test_a_benchmark_too_large_for_the_automaton(spark, make_tables, monkeypatch):
+    rows, labels, benchmark = tables()
+    sf = make_tables(documents=rows, labels=labels, benchmark=benchmark)
+    docs = common.documents(spark, sf).withColumn("_row", F.lit("x"))
+    want = sorted(map(repr, corpus_pipeline.drop_benchmark_leaks(spark, docs, sf).collect()))
+    monkeypatch.setattr(decontaminate.scan, "__defaults__", ("text", 0))
+    out = common.written(corpus_pipeline.drop_benchmark_leaks(spark, docs, sf), "t")
+    assert out.columns == docs.columns and sorted(map(repr, out.collect())) == want
+    assert 0 < len(want) < len(rows)
+
+
 def test_empty_tables(spark, make_tables):
     assert corpus_pipeline.run(spark, make_tables()).collect() == []
