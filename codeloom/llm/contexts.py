@@ -163,3 +163,22 @@ def costs(tree: Tree, table: np.ndarray, symbol: np.ndarray, width: int, texts:
         sums = np.add.reduceat(np.concatenate((found, np.zeros((1, models)))), edges, axis=0)[::2]
         np.add.at(out, owner, sums)
     return out
+
+
+def sums(keys: np.ndarray, values: np.ndarray, texts: list[bytes], depth: int) -> np.ndarray:
+    """Sum of the values of each text's grams and its end's; all of them are among ``keys`` (sorted)."""
+    out = np.zeros(len(texts))
+    for owner, starts, raw in pieces(texts, depth, True):
+        a = np.frombuffer(raw, np.uint8).astype(np.uint64)
+        n = len(a) - depth
+        g = a[:n].copy()
+        for k in range(1, depth + 1):
+            g <<= np.uint64(8)
+            g |= a[k : n + k]
+        begins = np.asarray(starts, np.int64)
+        ends = np.concatenate((begins[1:], [len(a)])) - depth
+        # Grams that reach from one part into the next belong to nobody, and need not be known.
+        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        found = np.concatenate((values[at], [0.0]))
+        np.add.at(out, owner, np.add.reduceat(found, np.stack((begins, ends), axis=1).ravel())[::2])
+    return out

@@ -116,3 +116,35 @@ def test_nothing_to_learn_from(spark, make_tables):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     (r,) = ctw.op8_ctw(spark, make_tables(documents=[(alone, "ab", "en", "s", 1)])).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (2, 0, 0, 0) and abs(r.score + 24 * math.log10(2)) < 1e-4
+
+
+def test_rare_contexts_are_nodes_and_the_tree_is_not_sent_out(spark, make_tables, monkeypatch):
+    monkeypatch.setattr(ctw, "CHUNK", 3000)
+    rng = np.random.default_rng(4)
+    common_text = ["".join(rng.choice(list("abcdefgh "), 4000)) for _ in range(40)]
+    rare = "qzxv" * 4
+    rows = [(i, t if i else t + " " + rare + " " + rare, "en", "s", 1) for i, t in enumerate(common_text)] + [(100 + i, f"{rare} once{i} éß{i}", "en", "s", 1) for i in range(12)]
+    test = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    model = ctw.from_texts([t.encode() for i, t, *_ in rows if not test(i)], 4, 0.0)
+    got = {r.doc_id: r.score for r in ctw.op8_ctw(spark, make_tables(documents=rows)).collect()}
+    want = -model.bits([t.encode() for _, t, *_ in rows]) * math.log10(2)
+    np.testing.assert_allclose([got[i] for i, *_ in rows], want, rtol=1e-9)
+    assert model.tree.size > 5000
+
+
+def test_shards_agree_with_one_tree():
+    texts = [b"the cat sat on the mat", b"", b"a dog \x00 and \xc3\xa9"]
+    keys, counts = contexts.grams(texts, 4, True)
+    shards = [ctw.Shard(keys[i], counts[i]) for _, i in ctw._dealt(keys, 16)]
+    assert len(shards) > 8
+    ids, n0, n1, mixed = (np.concatenate(x) for x in zip(*[s.roots() for s in shards], strict=True))
+    above, at = np.unique(ids, return_inverse=True)
+    top = ctw.upper(above, *(np.bincount(at, x) for x in (n0, n1, mixed)))
+    asked = [b"the dog", b"zzzz", b"", b"a cat \xc3"]
+    wanted, _ = contexts.grams(asked, 4, True)
+    known = {s: ctw.Shard(keys[i], counts[i]) for s, i in ctw._dealt(keys, 16)}
+    bits = np.zeros(len(wanted))
+    none = ctw.Shard(keys[:0], counts[:0])
+    for s, i in ctw._dealt(wanted, 16):
+        bits[i] = known.get(s, none).bits(wanted[i], top)
+    np.testing.assert_allclose(contexts.sums(wanted, bits, asked, 4), ctw.from_texts(texts, 4, 0.0).bits(asked), rtol=1e-9)
