@@ -193,8 +193,13 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
 
 STAGE_WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Rounds of comparison across the groups that still meet in a bucket, after the first one.
+#: Rounds of comparison by pivots across the groups that still meet in a bucket, after the first
+#: one; then all pairs of different groups are compared.
 ROUNDS = 3
+#: Members of a bucket whose pairs are rows; the shingles of larger ones meet in blocks.
+FEW = 32
+#: Shingles that one block holds, unless one set has more.
+BLOCK = 1 << 18
 _LEAST = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) << np.uint64(1)
 _LEAST[0] |= np.uint64(1)
 
@@ -272,12 +277,16 @@ def first_pairs(shared: DataFrame) -> DataFrame:
     return _pairs(ranked.select("sid", "key").join(pivots.hint("merge"), "key"))
 
 
+def _grouped(shared: DataFrame, member: DataFrame) -> DataFrame:
+    rows = shared.select("sid", "key").join(member.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").select("sid", "key", F.coalesce("root", "sid").alias("root"))
+    return common.written(rows, "grouped")
+
+
 def more_pairs(shared: DataFrame, member: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """Pairs across the groups that still meet in a bucket: members outside its largest group
     with one of that group, and all outside another group with one of that.  Also the buckets
     (sid, key) in which groups meet; the others need no further look."""
-    rows = shared.select("sid", "key").join(member.select(F.col("node").alias("sid"), "root").hint("merge"), "sid", "left").select("sid", "key", F.coalesce("root", "sid").alias("root"))
-    rows = common.written(rows, "grouped")
+    rows = _grouped(shared, member)
     groups = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), "sid")).alias("one"))
     groups = common.written(groups.select("key", "root", "n", F.col("one.sid").alias("pivot")), "groups")
     largest = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root", "pivot")).alias("big")).where("groups > 1").select("key", "big")
@@ -296,6 +305,56 @@ def similar(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILAR)
     return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("x"), F.col("b").alias("y"))
 
 
+def other_links(shared: DataFrame, member: DataFrame, compared: DataFrame, shingles: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """Links (x, y) of all similar pairs that share a bucket and are in different groups.
+
+    At least one link joins any two groups that have such a pair.  ``compared`` pairs are known
+    not to be one.
+    """
+    rows = _grouped(shared, member)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "n")
+    rows = common.written(rows.join(common.written(sizes, "sizes").hint("merge"), "key"), "open")
+    small = rows.where(F.col("n") <= FEW)
+    lists = small.groupBy("key").agg(F.collect_list(F.struct("sid", "root")).alias("all"))
+    pairs = small.join(lists, "key").select(F.col("sid").alias("a"), F.explode(F.filter("all", lambda x: (x.root != F.col("root")) & (x.sid > F.col("sid")))).alias("x")).select("a", F.col("x.sid").alias("b")).distinct()
+    pairs = common.written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+    return similar(pairs, shingles, similarity).unionByName(_block_links(rows.where(F.col("n") > FEW), shingles, similarity))
+
+
+def _block_links(rows: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links in large buckets: members are dealt to blocks, and any two blocks meet in one task."""
+    common.ship(rows.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        sids, roots, x, y = table.column("sid").to_pylist(), table.column("root").to_pylist(), [], []
+        lists = table.column("shingles").combine_chunks()
+        sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        distinct, flat = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        group = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+        mark, largest = np.zeros(len(distinct), np.int64), int(np.bincount(group).argmax())
+        for i in np.flatnonzero(group != largest).tolist():
+            if group[i] == largest:  # joined meanwhile
+                continue
+            mine = flat[ends[i] - sizes[i] : ends[i]]
+            mark[mine] = 1
+            shared = np.add.reduceat(mark[flat], ends - sizes)
+            mark[mine] = 0
+            for j in np.flatnonzero((shared >= similarity * (sizes + sizes[i] - shared)) & (group != group[i])).tolist():
+                if group[j] != group[i]:
+                    x.append(sids[i])
+                    y.append(sids[j])
+                    group[group == (group[i] if group[j] == largest else group[j])] = largest if group[j] == largest else group[i]
+        return pa.table({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.binary())})
+
+    sized = rows.join(shingles.select("sid", F.size("shingles").alias("size")), "sid")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("i", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+    dealt = dealt.select("sid", "root", "key", "i", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+    dealt = dealt.select("sid", "root", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    return dealt.join(shingles, "sid").groupBy("key", "lo", "hi").applyInArrow(run, "x binary, y binary")
+
+
 def groups_of_sets(placed: DataFrame, sets: DataFrame, links: DataFrame, similarity: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of the groups that ``links`` and similar sets of shingles form.
 
@@ -309,16 +368,20 @@ def groups_of_sets(placed: DataFrame, sets: DataFrame, links: DataFrame, similar
     wanted = common.written(wanted, "wanted")
     texts = placed.select("_at", "text").join(wanted.hint("merge"), F.col("_at") == F.col("_place")).select("sid", "text")
     shingles = common.written(_shingles(texts), "shingles")
-    links = links.unionByName(common.written(similar(common.written(first_pairs(shared), "pairs"), shingles, similarity), "similar"))
+    compared = common.written(first_pairs(shared), "pairs")
+    links = links.unionByName(common.written(similar(compared, shingles, similarity), "similar"))
     member = components(links, "x", "y")
     known = member.unionByName(shared.select(F.col("sid").alias("node")).distinct().withColumn("root", F.col("node")), allowMissingColumns=True)
     member = common.written(known.groupBy("node").agg(F.min("root").alias("root")), "members")
     for turn in range(rounds):
         pairs, shared = more_pairs(shared, member, turn)
-        found = common.written(similar(common.written(pairs, "pairs"), shingles, similarity), "similar")
+        pairs = common.written(pairs, "pairs")
+        compared = compared.unionByName(pairs)
+        found = common.written(similar(pairs, shingles, similarity), "similar")
         if not found.isEmpty():
             member = common.written(_joined(member, found), "members")
-    return member
+    found = common.written(other_links(shared, member, compared, shingles, similarity), "similar")
+    return member if found.isEmpty() else common.written(_joined(member, found), "members")
 
 
 def _joined(member: DataFrame, links: DataFrame) -> DataFrame:

@@ -158,3 +158,20 @@ def test_forest_spans_components():
     values = near_values(rng, 200)
     links = simhash.forest(np.array([simhash._signed(v) for v in values]))
     assert len(links) == len(set(values)) - len(set(brute_groups(len(values), lambda a, b: (values[a] ^ values[b]).bit_count() <= 3)))
+
+
+@pytest.mark.parametrize("n", [26, 120])
+def test_groups_that_meet_in_one_bucket_are_all_compared(spark, monkeypatch, n):
+    """Many small groups in one bucket; with 120 members their shingles are dealt to blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 2000, raising=False)
+    rng = random.Random(n)
+    texts = []
+    for _ in range(n // 2):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(w), " ".join([*w[:-1], "end"])]
+    order = rng.sample(range(n), n)
+    placed = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_at int, text string")
+    sets = spark.createDataFrame([(bytes([order[i]]), [7], (i,)) for i in range(n)], "sid binary, bands array<bigint>, least struct<_at: int>")
+    none = spark.createDataFrame([], "x binary, y binary")
+    got = {bytes(r.node): bytes(r.root) for r in simhash.groups_of_sets(placed, sets, none).collect()}
+    assert got == {bytes([order[i]]): min(bytes([order[i]]), bytes([order[i ^ 1]])) for i in range(n)}
