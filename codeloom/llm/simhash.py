@@ -401,12 +401,14 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     """
     placed = located(docs)
     rows = common.written(_sketches(placed), "sketches")
-    sets = rows.groupBy("sid").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("least"))
+    sets = rows.groupBy("sid").agg(F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("least"))
     sets = common.written(sets, "sets")
-    heads = common.written(sets.groupBy("fp").agg(F.min("sid").alias("head")), "heads")
+    # A set of shingles has a fingerprint for each way of repeating them.
+    prints = common.written(rows.select("sid", "fp").distinct(), "prints")
+    heads = common.written(prints.groupBy("fp").agg(F.min("sid").alias("head")), "heads")
     close = near(heads.select("fp"), radius)
     close = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    same = sets.select("sid", "fp").join(heads, "fp").select(F.col("sid").alias("x"), F.col("head").alias("y")).where("x != y")
+    same = prints.join(heads, "fp").select(F.col("sid").alias("x"), F.col("head").alias("y")).where("x != y")
     member = groups_of_sets(placed, sets, common.written(close.unionByName(same), "close"), similarity)
     named = common.written(sets.select("sid", "least").join(member, sets.sid == member.node, "left").select("least", F.coalesce("root", "sid").alias("root")), "named")
     kept = common.written(named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._at").alias("_kept")), "kept")

@@ -175,3 +175,16 @@ def test_groups_that_meet_in_one_bucket_are_all_compared(spark, monkeypatch, n):
     none = spark.createDataFrame([], "x binary, y binary")
     got = {bytes(r.node): bytes(r.root) for r in simhash.groups_of_sets(placed, sets, none).collect()}
     assert got == {bytes([order[i]]): min(bytes([order[i]]), bytes([order[i ^ 1]])) for i in range(n)}
+
+
+def test_every_fingerprint_of_a_set_links(spark):
+    """Texts of one set of shingles differ in repeats; a third text is near the second alone."""
+    rng = random.Random(27)
+    base = [f"w{rng.randrange(1000)}" for _ in range(8)]
+    tail = [f"t{rng.randrange(1000)}" for _ in range(6)]
+    texts = [" ".join(base * 2), " ".join(base * 40), " ".join(base * 40 + tail)]
+    a, b, c = (brute_fingerprint(t, 5) for t in texts)
+    assert (b ^ c).bit_count() <= 3 < (a ^ c).bit_count() and jaccard(texts[0], texts[1]) == 1 and jaccard(texts[1], texts[2]) < 0.8
+    for order in (texts, texts[1::-1] + texts[2:]):
+        frame = spark.createDataFrame(list(enumerate(order)), "doc_id long, text string").coalesce(1)
+        assert [r.doc_id for r in simhash.one_of_each(frame).collect()] == [0]
