@@ -1,19 +1,26 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Test items are cut into windows of ten normalised words; an item with fewer words is one
-window.  The automaton over all windows scans each text once; a match marks the words that it
-covers, and word numbers lead back to places in the original text.
-
-Cases: null and empty texts have no words and no hits; a null item id is shown as an empty
-text; repeated items count once for each id; an empty benchmark hits nothing; extra columns
-are ignored.
+window.  The automaton's letters are whole words: each word of the benchmark is one code point,
+any other word is UNKNOWN, so a window has at most ten nodes however long its words are.  It
+scans each text once; a match marks the words that it covers, and word numbers lead back to
+places in the original text.
+
+A benchmark of more than SHARD_BYTES is dealt to several such automata, pieces of long items
+too; each of them scans all texts, and what they hit is put together by row.  The result is the
+same for any number of them.
+
+Cases: null and empty texts have no words and no hits; very long texts take time in proportion
+and long items are cut into pieces that overlap by nine words; ties do not arise; a null item id
+is shown as an empty text; repeated items count once for each id, repeated documents each get a
+row; an empty benchmark hits nothing, an empty table gives no rows; extra columns are ignored,
+and those in ``keep`` may have any names but those of the result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,9 +31,12 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW = 10
-#: Bytes of benchmark text up to which the automaton is built (0.4 GB for 1 MB of text, in each
-#: worker); beyond, windows are joined.
-AUTOMATON_BYTES = 1 << 19
+#: Bytes of benchmark text that one automaton holds (about 0.12 GB in each worker).
+SHARD_BYTES = 2 << 20
+#: Words of an item that are kept together, besides the nine that the next piece begins with.
+PIECE = 4096
+#: Stands for all words that no window holds; words of windows have the code points from 1 on.
+UNKNOWN = "\0"
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes((b | 0x20 if 0x41 <= b <= 0x5A else b) if (b | 0x20 if 0x41 <= b <= 0x5A else b) in _KEEP else 0x20 for b in range(256))
@@ -57,43 +67,63 @@ def places(text: str, numbers: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(text: bytes | None, size: int = WINDOW, step: int = PIECE) -> list[bytes]:
+    """Runs of an item's words, joined by spaces, that hold each of its windows once."""
+    w = words(text)
+    return [b" ".join(w[i : i + step + size - 1]) for i in range(0, max(1, len(w) - size + 1), step)] if w else []
+
+
 class Scanner:
-    """The automaton over windows; ``scan`` gives hit word numbers and item ids."""
+    """The automaton over windows; ``scan`` gives the number of words, hit word numbers, item ids."""
 
     def __init__(self, items: tuple[tuple[str, bytes], ...], size: int = WINDOW):
         import ahocorasick
 
-        owners: dict[bytes, set[str]] = {}
+        self.letter: dict[bytes, str] = {}
+        self.owners: list[tuple[str, ...]] = []
+        owners: dict[str, tuple[str, ...]] = {}
         for item, text in items:
-            for window in windows(text, size):
-                owners.setdefault(window, set()).add(item)
-        self.automaton = ahocorasick.Automaton()
+            w = words(text)
+            shown = "".join(map(self._letter_of, w))
+            for i in range(max(1, len(w) - size + 1) if w else 0):
+                window = shown[i : i + size]
+                known = owners.get(window, ())
+                if item not in known:
+                    owners[window] = (*known, item)
+        number: dict[tuple[str, ...], int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.size = size
         for window, ids in owners.items():
-            self.automaton.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, frozenset(ids)))
+            self.automaton.add_word(window, number.setdefault(ids, len(number)) * size + len(window) - 1)
+        self.owners = list(number)
+        self.empty = not owners
         if owners:
             self.automaton.make_automaton()
-        self.empty = not owners
+
+    def _letter_of(self, word: bytes) -> str:
+        if word not in self.letter:
+            n = len(self.letter) + 1
+            self.letter[word] = chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+        return self.letter[word]
 
     def scan(self, text: bytes | None) -> tuple[int, list[int], set[str]]:
         w = words(text)
         if self.empty or not w:
             return len(w), [], set()
-        found = list(self.automaton.iter(f" {b' '.join(w).decode('latin-1')} "))
-        if not found:
+        get = self.letter.get
+        marks, found = None, set()
+        for last, value in self.automaton.iter("".join([get(x, UNKNOWN) for x in w])):
+            if marks is None:
+                marks = bytearray(len(w))
+            owner, n = divmod(value, self.size)
+            marks[last - n : last + 1] = b"\x01" * (n + 1)
+            found.add(owner)
+        if marks is None:
             return len(w), [], set()
-        ends, at = [], 0
-        for x in w:
-            at += len(x) + 1
-            ends.append(at)
-        marks, items = bytearray(len(w)), set()
-        for end, (n, ids) in found:
-            last = bisect_left(ends, end)
-            marks[last - n + 1 : last + 1] = b"\x01" * n
-            items |= ids
-        return len(w), [i for i, hit in enumerate(marks) if hit], items
-
-
-@lru_cache(maxsize=2)
+        return len(w), [i for i, hit in enumerate(marks) if hit], {x for k in found for x in self.owners[k]}
+
+
+@lru_cache(maxsize=1)
 def _scanner(items: tuple[tuple[str, bytes], ...], size: int) -> Scanner:
     return Scanner(items, size)
 
@@ -102,6 +132,14 @@ def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+_RESULT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("places", pa.list_(pa.list_(pa.int32())))])
+_RESULT_SQL = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, places array<array<int>>"
+
+
+def _row(text: bytes | None, n: int, hit: list[int], ids) -> tuple:
+    return n, len(hit), len(ids), digest(ids), bool(hit), [list(p) for p in places(text.decode(), hit)] if hit else []
+
+
 def by_automaton(docs: DataFrame, items: tuple[tuple[str, bytes], ...], keep: list[str], text: str = "text", size: int = WINDOW) -> DataFrame:
     """One scan of each text.  ``places`` are hit passages in the original, as [start, end)."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -110,80 +148,75 @@ def by_automaton(docs: DataFrame, items: tuple[tuple[str, bytes], ...], keep: li
         scan = _scanner(shared.value, size).scan
 
         def run(texts):
-            out: dict[str, list] = {"n_words": [], "n_hit": [], "n_items": [], "items_sha256": [], "contaminated": [], "places": []}
-            for t in texts:
-                n, hit, ids = scan(t)
-                out["n_words"].append(n)
-                out["n_hit"].append(len(hit))
-                out["n_items"].append(len(ids))
-                out["items_sha256"].append(digest(ids))
-                out["contaminated"].append(bool(hit))
-                out["places"].append([list(p) for p in places(t.decode(), hit)] if hit else [])
-            return out
+            rows = [_row(t, *scan(t)) for t in texts]
+            return dict(zip(_RESULT.names, zip(*rows, strict=True), strict=True))
 
         return run
 
-    schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("places", pa.list_(pa.list_(pa.int32())))])
-    return common.map_texts(docs, keep, text, make, schema, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, places array<array<int>>")
+    return common.map_texts(docs, keep, text, make, _RESULT, _RESULT_SQL)
 
 
-def _words(column: str):
-    lower = F.translate(F.coalesce(F.col(column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")
+def hits(docs: DataFrame, items: tuple[tuple[str, bytes], ...], size: int = WINDOW) -> DataFrame:
+    """(_row, hit, ids) of the texts that hold a window of ``items``, from ``_row`` and ``text``."""
+    common.ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
+    def run(batches):
+        scan = _scanner(shared.value, size).scan
+        for batch in batches:
+            out = [(row, hit, sorted(ids)) for row, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for _, hit, ids in [scan(t.as_py().encode() if t.is_valid else None)] if hit]
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())), strict=True)], names=["_row", "hit", "ids"])
 
-def by_join(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """The same result for a benchmark too large for one machine: windows meet in a join.
+    return docs.select("_row", "text").mapInArrow(run, "_row bigint, hit array<int>, ids array<string>")
 
-    ``doc_id`` must be unique.  Items have ``item`` (text) and ``text``.  ``hit`` are the
-    numbers of hit words, from which ``_placed`` finds the places.
-    """
-    cut = items.select("item", _words("text").alias("w")).where(F.size("w") > 0)
-    grams = cut.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: F.slice("w", i + 1, size))).alias("g")).distinct()
-    lengths = [r[0] for r in grams.select(F.size("g")).distinct().collect()]  # size at most
-    table = docs.select(F.col(doc_id).alias("doc"), _words(text).alias("w"))
 
-    def spots(n: int):
-        return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("i"), F.slice("w", i + 1, n).alias("g")))
+def by_shards(docs: DataFrame, shards: list[DataFrame], keep: list[str], text: str = "text", size: int = WINDOW) -> DataFrame:
+    """The result of one automaton over all items, from a scan for each shard of (item, words)."""
+    # What the caller keeps is one column, so that none of its names meets those made here.
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(keep or [F.lit(0)])).alias("kept"), F.col(text).alias("text"))
+    numbered = common.written(numbered, "scan")
+    found = None
+    for shard in shards:
+        one = common.written(hits(numbered, tuple(sorted((r.item, bytes(r.words)) for r in shard.collect())), size), "hits")
+        found = one if found is None else found.unionByName(one)
+    both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    joined = numbered.join(found.groupBy("_row").agg(both("hit"), both("ids")), "_row", "left")
 
-    hits = None
-    for n in lengths:
-        at = table.where(F.size("w") >= n).select("doc", F.explode(spots(n)).alias("x")).select("doc", F.col("x.i").alias("i"), F.col("x.g").alias("g"))
-        one = at.join(grams.where(F.size("g") == n), "g").select("doc", "i", F.lit(n).alias("n"), "item")
-        hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        hits = docs.sparkSession.createDataFrame([], f"doc {docs.schema[doc_id].dataType.simpleString()}, i int, n int, item string")
-    marked = hits.select("doc", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("p")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"), F.sort_array(F.collect_list("p")).alias("hit"))
-    owned = hits.select("doc", "item").distinct().groupBy("doc").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_set("item"))).alias("ids"))
-    got = table.select("doc", F.size("w").cast("long").alias("n_words")).join(marked, "doc", "left").join(owned, "doc", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return got.select(F.col("doc").alias(doc_id), "n_words", zero(F.col("n_hit")).alias("n_hit"), zero(F.col("n_items")).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (zero(F.col("n_hit")) > 0).alias("contaminated"), "hit")
+    def run(batches):
+        for batch in batches:
+            texts, hit, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "hit", "ids"))
+            rows = [_row(raw, len(words(raw)), n.as_py() or [], i.as_py() or []) for t, n, i in zip(texts, hit, ids, strict=True) for raw in [t.as_py().encode() if t.is_valid else None]]
+            columns = list(zip(*rows, strict=True)) or [[] for _ in _RESULT]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("kept")), *(pa.array(c, f.type) for c, f in zip(columns, _RESULT, strict=True))], names=["kept", *_RESULT.names])
+
+    made = T.StructType([joined.schema["kept"], *T._parse_datatype_string(_RESULT_SQL).fields])
+    out = joined.mapInArrow(run, made)
+    return out.select(*[F.col("kept").getField(c).alias(c) for c in keep], *_RESULT.names)
 
 
-def _placed(found: DataFrame) -> DataFrame:
-    """``found`` with ``places`` beside the numbers of hit words."""
-    common.ship(found.sparkSession)
+def _pieces(benchmark: DataFrame) -> DataFrame:
+    """(item, words): the items' words in pieces."""
+    common.ship(benchmark.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts, hits = batch.column("text").cast(pa.large_binary()), batch.column("hit")
-            at = [[list(p) for p in places(t.as_py().decode(), n.as_py())] if n.is_valid else [] for t, n in zip(texts, hits, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.list_(pa.list_(pa.int32())))], names=[*batch.schema.names, "places"])
-
-    return found.mapInArrow(run, T.StructType([*found.schema, T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+            out = [(item, p) for item, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for p in pieces(t.as_py().encode())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary())], names=["item", "words"])
 
-
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", limit: int = AUTOMATON_BYTES) -> DataFrame:
-    """Scan ``docs`` against all items; the automaton is sent out only if the items are small."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
-    if (items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0) <= limit:
-        return by_automaton(docs, tuple(sorted((r.item, r.text.encode()) for r in items.collect())), keep, text)
-    # A window of n words becomes n times its text in the automaton: this many bytes no worker holds.
-    # What the caller keeps is one column, so that none of its names meets those made here.
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(keep or [F.lit(0)])).alias("kept"), F.col(text).alias("text"))
-    numbered = common.written(numbered, "scan")
-    found = _placed(numbered.join(by_join(numbered, items, "row"), "row"))
-    return found.select(*[F.col("kept").getField(c).alias(c) for c in keep], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "places")
+    return items.mapInArrow(run, "item string, words binary")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
+    """``keep``, n_words, n_hit, n_items, items_sha256, contaminated and places, for each text."""
+    items = common.written(_pieces(benchmark), "items")
+    held = items.agg(F.sum(F.length("words") + F.octet_length("item") + 16)).first()[0] or 0
+    count = max(1, -(-held // max(1, limit)))
+    if count == 1:
+        return by_automaton(docs, tuple(sorted((r.item, bytes(r.words)) for r in items.collect())), keep, text)
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(count)))
+    return by_shards(docs, [dealt.where(F.col("shard") == k).select("item", "words") for k in range(count)], keep, text)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def fixture(seed):
     return [*docs, (160, None), (161, ""), (162, "?!"), (160, items[5][1]), (None, items[5][1] + " and " + items[0][1])], items
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("limit", [400, 1 << 20])
 def test_against_brute_force(spark, limit):
     docs, items = fixture(limit)
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"item": F.lit(1), "n_hit": F.lit("x"), "w": F.lit(2)})
@@ -79,14 +79,32 @@ def test_long_text():
     assert common.cut([1, 2, 3]).__next__() == (0, 3)
 
 
-def test_both_ways_keep_any_columns_and_give_places(spark):
+def test_any_number_of_automata_keep_any_columns_and_give_places(spark):
     docs, items = fixture(3)
     names = ("_row", "row", "kept", "hit", "places", "doc")
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
     b = spark.createDataFrame(items, "item_id long, text string")
     keep = ["doc_id", "text", "_row", "row", "kept", "hit", "doc"]
-    one, other = (decontaminate.scan(d, b, keep, limit=n) for n in (1 << 20, 0))
+    one, other = (decontaminate.scan(d, b, keep, limit=n) for n in (1 << 20, 500))
     assert one.columns == other.columns
     assert sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
     assert other.select("_row", "doc").distinct().collect() == [("_row", "doc")]
     assert other.where("size(places) > 0").count() > 10
+
+
+def test_pieces_hold_each_window_once():
+    rng = random.Random(1)
+    for n in [*range(0, 40), 200]:
+        text = " ".join(str(rng.randint(0, 5)) for _ in range(n)).encode()
+        assert [w for p in decontaminate.pieces(text, step=7) for w in decontaminate.windows(p)] == decontaminate.windows(text)
+
+
+def test_a_benchmark_of_two_megabytes(spark):
+    rng = random.Random(2)
+    items = [(k, " ".join(f"v{rng.randrange(40_000)}" for _ in range(120_000 if k == 0 else 60))) for k in range(4_000)]
+    assert sum(len(t) for _, t in items) > 2 << 20
+    docs = [(k, "alpha " * 5 + " ".join(items[k][1].split()[20 : 20 + 9 + k % 2]) + " omega") for k in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, some = (decontaminate.scan(d, b, ["doc_id"], limit=n).orderBy("doc_id").collect() for n in (1 << 30, 1 << 20))
+    assert one == some == decontaminate.scan(d, b, ["doc_id"]).orderBy("doc_id").collect()
+    assert [(r.contaminated, r.n_hit) for r in one] == [(bool(k % 2), 10 * (k % 2)) for k in range(60)]

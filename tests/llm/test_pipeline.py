@@ -88,12 +88,12 @@ def test_other_columns_stay(spark, make_tables):
         docs = out
 
 
-def test_a_benchmark_too_large_for_the_automaton(spark, make_tables, monkeypatch):
+def test_a_benchmark_for_several_automata(spark, make_tables, monkeypatch):
     rows, labels, benchmark = tables()
     sf = make_tables(documents=rows, labels=labels, benchmark=benchmark)
     docs = common.documents(spark, sf).withColumn("_row", F.lit("x"))
     want = sorted(map(repr, corpus_pipeline.drop_benchmark_leaks(spark, docs, sf).collect()))
-    monkeypatch.setattr(decontaminate.scan, "__defaults__", ("text", 0))
+    monkeypatch.setattr(decontaminate.scan, "__defaults__", ("text", 300))
     out = common.written(corpus_pipeline.drop_benchmark_leaks(spark, docs, sf), "t")
     assert out.columns == docs.columns and sorted(map(repr, out.collect())) == want
     assert 0 < len(want) < len(rows)
