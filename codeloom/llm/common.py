@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,14 +17,22 @@ from ..plans.shipping import ship
 BATCH_BYTES = 4 << 20
 
 
+#: Shuffle files go when the job that wrote them is over, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A private one is made only where that setting is absent (local tests).
+    A private one is made only where that setting is absent and all runs on one machine (tests).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="codeloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -34,11 +42,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/codeloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those written with ``stays``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
+
+
+def written(df: DataFrame, name: str, path: str | None = None, stays: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    owner = _scopes[-1 - stays :][:1]
+    for paths in owner if len(_scopes) > stays else []:
+        paths.append(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -109,7 +136,3 @@ def map_texts(
 
     wanted = list(dict.fromkeys([*keep, text]))
     return df.select(*wanted).mapInArrow(run, f"{head}, {spark_schema}" if keep else spark_schema)
-
-
-def remove_local(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)

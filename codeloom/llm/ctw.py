@@ -394,6 +394,12 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def score(docs: DataFrame, keep: list[str], training: DataFrame, text: str = "text", order: int = ORDER, head: float = HEAD) -> DataFrame:
     """``keep``, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
+    spark = docs.sparkSession
+    with common.scratch(spark):
+        return _score(docs, keep, training, text, order, head)
+
+
+def _score(docs: DataFrame, keep: list[str], training: DataFrame, text: str, order: int, head: float) -> DataFrame:
     spark = docs.sparkSession
     size = training.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = min(max(size // SHARD, 8), SHARDS)
@@ -401,8 +407,9 @@ def score(docs: DataFrame, keep: list[str], training: DataFrame, text: str = "te
     top = learn(grams, order)
     packed = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row"))
     packed = common.written(chunked(packed, "text"), "chunks")
-    coded = text_bits(packed, grams, top, shards, "text", order)
-    counted = common.written(count_words(training, text), "words")
+    # Written at once, so that the texts' shuffle is over before anything else takes room.
+    coded = common.written(text_bits(packed, grams, top, shards, "text", order), "coded", stays=True)
+    counted = common.written(count_words(training, text), "words", stays=True)
     ends = training.count()
     tokens, kinds = counted.agg(F.sum("c"), F.count("*")).first()
     tokens, kinds = (tokens or 0) + ends, kinds + bool(ends)
@@ -440,7 +447,7 @@ def score(docs: DataFrame, keep: list[str], training: DataFrame, text: str = "te
     tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     schema = pa.schema([("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_sum", pa.float64()), ("n_bytes", pa.int64()), ("tail", tail)])
     found = common.map_texts(packed, ["_row", "kept"], "text", make, schema, "n_tokens bigint, n_head bigint, head_sum double, n_bytes bigint, tail array<struct<word: binary, n: bigint>>")
-    found = common.written(found, "scored")
+    found = common.written(found, "scored", stays=True)
     rest = found.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.n").join(counted, "word", "left")
     rest = rest.groupBy("_row").agg(F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(below))).alias("tail_sum"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("n_tail"))
     whole = found.drop("tail").join(coded, "_row").join(rest, "_row", "left")
