@@ -34,7 +34,7 @@ def brute(text: bytes, texts: list[bytes], order: int) -> float:
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_code_lengths(order):
     texts = {"en": [b"hello world the cat", "the dog é".encode()], "fr": ["le chat été là".encode()]}
-    model = ppm.Model(texts, order)
+    model = ppm.Model.of(texts, order)
     for t in ["the cats €", "été", "a", "zzzz the", "\x00\x01"]:
         got = model.bits([t.encode(), b"other", t.encode()])
         np.testing.assert_allclose(got[0], [brute(t.encode(), texts[x], order) for x in model.languages], rtol=1e-5)
@@ -42,7 +42,7 @@ def test_code_lengths(order):
 
 
 def test_pieces_do_not_matter(monkeypatch):
-    model = ppm.Model({"a": [b"abcabc" * 30], "b": [b"cba" * 50]})
+    model = ppm.Model.of({"a": [b"abcabc" * 30], "b": [b"cba" * 50]})
     texts = [b"abcab" * 40, b"", b"cab" * 100]
     whole = model.bits(texts)
     monkeypatch.setattr(contexts, "STEP", 1 << 5)
@@ -64,6 +64,16 @@ def test_query(spark, make_tables):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_learns_whole_texts_of_different_rows(spark):
+    long = " ".join(f"w{i}" for i in range(9_000)) + " zebra"
+    rows = [(1, long, "a"), (2, "plain words", "b"), (2, "plain words", "b"), (3, "other", "b"), (4, None, "b"), (5, "none", None)]
+    got = ppm.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = ppm.Model.of({"a": [long.encode()], "b": [b"plain words", b"other"]})
+    assert got.languages == want.languages and (got.table == want.table).all()
+    few = ppm.learn(spark.createDataFrame([(i, f"text {i}", "a") for i in range(300)], "doc_id long, text string, lang string"), sample=10)
+    assert int(np.exp2(-few.bits([b"text"])[0, 0]) * 1e9) > 0
+
+
 def test_nothing_to_learn_from(spark, make_tables):
     assert ppm.op1_language_id(spark, make_tables()).collect() == []
     got = ppm.op1_language_id(spark, make_tables(documents=[(1, "abc", None, "s", 1)])).collect()
