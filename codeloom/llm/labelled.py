@@ -11,11 +11,13 @@ from . import common
 SAMPLE_ROWS = 4000
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, float]]:
-    """(doc_id, text, y) drawn by a hash of the id, and what each drawn row of a class weighs.
+def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) drawn by a hash of the id, and how many labelled rows each class has.
 
-    Texts are whole and stay with the executors; callers fetch what they measure on them.  Only rows that the folds leave for learning are drawn (crc32 of the id, modulo 5, not 0).
-    The draw is a top-n in each task, so labels may have any number of rows.
+    Texts are whole and stay with the executors; callers fetch what they measure on them.  Only
+    rows that the folds leave for learning are drawn (crc32 of the id, modulo 5, not 0).  The draw
+    is a top-n in each task, so labels may have any number of rows.  Where documents repeat an id
+    so often that more than 4 * rows of a class would be found, a hash of the text draws among them.
     """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (common.remainder() != 0)).select("doc_id", F.col(column).cast("int").alias("y"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -25,6 +27,13 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_R
         drawn = part if drawn is None else drawn.unionByName(part)
     if drawn is None:
         drawn = known
-    drawn = common.written(drawn, "labels")
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # 2 * rows at most
-    return found, {y: n / min(n, rows) for y, n in sizes.items()}
+    drawn = F.broadcast(common.written(drawn, "labels"))  # 2 * rows at most
+    found = docs.select("doc_id", "text").join(drawn, "doc_id")
+    many = docs.select("doc_id").join(drawn, "doc_id").groupBy("y").agg(F.count("*").alias("n")).where(F.col("n") > 4 * rows).collect()
+    if many:
+        found = found.dropDuplicates(["doc_id", "text", "y"])
+        share = F.lit(1 << 20)
+        for r in many:
+            share = F.when(F.col("y") == r.y, F.lit(2 * rows * (1 << 20) // r.n)).otherwise(share)
+        found = found.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share)
+    return found, sizes

@@ -215,11 +215,13 @@ def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Ensemble:
-    drawn, weights = labelled.sample(docs, labels, "quality")
+    drawn, sizes = labelled.sample(docs, labels, "quality")
     rows = with_statistics(drawn, ["doc_id", "y"]).toArrow()
     y = rows.column("y").to_numpy()
     x = np.stack([rows.column(s).to_numpy() for s in STATISTICS], axis=1) if len(y) else np.zeros((0, len(STATISTICS)))
-    return fit(x, y, np.array([weights[int(v)] for v in y], np.float64))
+    # Each class weighs what it does among all labels.
+    weights = {k: sizes[k] / n for k, n in zip(*np.unique(y, return_counts=True), strict=True)}
+    return fit(x, y, np.array([weights[v] for v in y], np.float64))
 
 
 def score(docs: DataFrame, model: Ensemble, keep: list[str], text: str = "text") -> DataFrame:
