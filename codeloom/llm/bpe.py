@@ -5,8 +5,9 @@ over 256 printable characters, scored by its negative rank, with identity normal
 Texts are split by the public pre-token pattern; each pre-token is encoded on its own and
 ids are decoded by the inverse character map.
 
-Cases: a null or empty text has no ids; texts of any length are encoded whole; rows are
-independent, so repeated rows give equal results; extra columns are ignored.
+Cases: a null or empty text has no ids; texts of any length are encoded whole; of pieces that
+could merge at several places the leftmost of the least rank does; rows are independent, so
+repeated rows give equal results; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,8 +92,10 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.rank_of_piece = [-1, *sorted(ranks.values())]
         self.shown_piece = list(map(str, self.rank_of_piece))
-        self.bytes_of = {rank: piece for piece, rank in ranks.items()}
         chars = byte_characters()
+        # Decoding goes from the model's pieces back through the characters.
+        byte = {c: b for b, c in enumerate(chars)}
+        self.bytes_of = {rank: bytes(map(byte.__getitem__, self.model.id_to_piece(i))) for i, rank in enumerate(self.rank_of_piece) if i}
         self.table = {b: chars[b] for b in range(256)}
         # White space as the tokenizer library has it: Unicode's property, without U+001C-1F.
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
@@ -159,6 +162,17 @@ class Codec:
         return new
 
     def encode_batch(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """``_encode_batch`` without the garbage collector, which would scan the cache's many small
+        tuples again and again; they hold no cycles."""
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if was_on:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """For each text its ids and the ids as text.
 
         A text is cut at single spaces, which no match of the pattern crosses while there is
@@ -185,7 +199,7 @@ class Codec:
         return self.encode_batch([text])[0][0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        """Bytes of the ids, back through the model's characters."""
+        """Bytes of the ids: of each one's piece, back through the character map."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
@@ -195,7 +209,6 @@ _codecs: dict[str, Codec] = {}
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a rank file on this machine, built once in each worker."""
     if path not in _codecs:
-        gc.disable()  # the cache holds many small tuples and no cycles; scanning them is the main cost
         with open(path, "rb") as lines:
             _codecs[path] = Codec(read_ranks(lines), pattern)
     return _codecs[path]

@@ -51,6 +51,19 @@ def test_white_space_that_is_known_already(name):
         assert codec.encode(text) == oracle.encode_ordinary(text), repr(text)
 
 
+def test_decoding_is_the_inverse_of_the_map(codec):
+    """What ids mean comes from the serialised model, and is what the rank file says."""
+    import gc
+
+    chars = bpe.byte_characters()
+    assert len(set(chars)) == 256
+    for piece, rank in codec.ranks.items():
+        assert codec.decode([rank]) == piece
+    assert codec.model.id_to_piece(1 + codec.ranks[b" the"]) == chars[0x20] + "the"
+    codec.encode("something new to learn")
+    assert gc.isenabled()
+
+
 def test_cache_starts_afresh(codec, oracle, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
     for text in ["one two three four five six seven", "eight nine ten eleven", "one two"]:
