@@ -3,10 +3,12 @@
 ``mux`` stores bytes as 8-bit PCM samples of one audio track: fixed-size laces in SimpleBlocks,
 clusters and a cue for each.  ``demux`` reads any Matroska file: element ids and sizes of
 variable length, unknown sizes, SimpleBlocks and BlockGroups, and all four kinds of lacing.
+Media are written as a table in the shared folder, and what is said of them is read from there.
 
 Cases: a null text is an empty one; an empty text becomes one packet of spaces; very long texts
 take more clusters; broken media (``packets``) give one row with an error; null media give no
-row; repeated rows each give a result; extra columns are ignored.
+row; packets of the same time stay in the order of their places; repeated rows each give a
+result; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -304,7 +306,7 @@ def features(payload: bytes, media: Media) -> str:
     counts = np.bincount(a, minlength=256)
     total, squares = int(counts @ np.arange(256)), int(counts @ np.arange(256) ** 2)
     spread = int(100 * max(0, squares * n - total * total) ** 0.5) // n
-    crossings = int(np.count_nonzero((a[1:] ^ a[:-1]) & 0x40)) if n > 1 else 0
+    crossings = int(np.count_nonzero((a[1:] ^ a[:-1]) & 0x80)) if n > 1 else 0
     values = [len(media.packets), len(media.clusters), len(media.cues), int(media.duration), 100 * total // n, spread, 10_000 * crossings // n, *(1000 * int(x) // n for x in levels)]
     return ",".join(map(str, values))
 
@@ -315,27 +317,34 @@ def padded(text: bytes | None) -> bytes:
     return text.ljust(max(1, -(-len(text) // PACKET)) * PACKET, b" ")
 
 
-def media_columns(docs: DataFrame, keep: list[str], text: str = "text", with_media: bool = False) -> DataFrame:
-    """Store each text as media, read the stored bytes back, and describe them."""
-    fields = [("n_bytes", pa.int64(), "bigint"), ("payload_bytes", pa.int64(), "bigint"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "bigint"), ("media_bytes", pa.int64(), "bigint"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string")]
-    if with_media:
-        fields.append(("media", pa.binary(), "binary"))
+def stored(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, n_bytes and media: each text as media."""
 
     def make():
         def run(texts):
-            out: dict[str, list] = {f[0]: [] for f in fields}
-            for text in texts:
-                stored = mux(padded(text))
-                media = demux(stored)
-                back = samples(stored, media)
-                row = (len(text or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back, media), stored)
-                for f, value in zip(fields, row, strict=False):
-                    out[f[0]].append(value)
-            return out
+            return {"n_bytes": [len(t or b"") for t in texts], "media": [mux(padded(t)) for t in texts]}
 
         return run
 
-    return common.map_texts(docs, keep, text, make, pa.schema([f[:2] for f in fields]), ", ".join(f"{n} {s}" for n, _, s in fields))
+    return common.map_texts(docs, keep, text, make, pa.schema([("n_bytes", pa.int64()), ("media", pa.binary())]), "n_bytes bigint, media binary")
+
+
+def described(table: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
+    """``keep`` and what is read from media: samples' length and digests, the media's, features."""
+    fields = [("payload_bytes", pa.int64(), "bigint"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "bigint"), ("media_bytes", pa.int64(), "bigint"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string")]
+
+    def make():
+        def run(column):
+            rows = []
+            for data in column:
+                found = demux(data)
+                back = samples(data, found)
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(back, found)))
+            return dict(zip([f[0] for f in fields], zip(*rows, strict=True), strict=True))
+
+        return run
+
+    return common.map_texts(table, keep, media, make, pa.schema([f[:2] for f in fields]), ", ".join(f"{n} {s}" for n, _, s in fields))
 
 
 def packets(table: DataFrame, key: str, media: str = "media") -> DataFrame:
@@ -369,4 +378,5 @@ def packets(table: DataFrame, key: str, media: str = "media") -> DataFrame:
 
 
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(common.documents(spark, sf_dir, "doc_id", "text"), ["doc_id"])
+    media = common.written(stored(common.documents(spark, sf_dir, "doc_id", "text"), ["doc_id"]), "media")
+    return described(media, ["doc_id", "n_bytes"])

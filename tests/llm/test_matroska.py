@@ -21,6 +21,44 @@ def test_round_trip(n):
     assert all(media[at : at + 4] == b"\x1f\x43\xb6\x75" for _, _, at in found.cues)
 
 
+def walk(data):
+    """(id, content) of elements, by the specification's rules for sizes and nothing of the module."""
+    at = 0
+    while at < len(data):
+        first = f"{data[at]:08b}".index("1") + 1
+        name, at = data[at : at + first].hex(), at + first
+        width = f"{data[at]:08b}".index("1") + 1
+        size = int("".join(f"{b:08b}" for b in data[at : at + width])[width:], 2)
+        at += width
+        yield name, data[at : at + size]
+        at += size
+
+
+@pytest.mark.parametrize("n", [1, 192 * 64, 192 * 64 * 16 + 5])
+def test_an_independent_reader_finds_the_samples(n):
+    payload = m.padded(random.Random(n).randbytes(n))
+    top = list(walk(m.mux(payload)))
+    assert [name for name, _ in top] == ["1a45dfa3", "18538067"]
+    assert dict(walk(top[0][1]))["4282"] == b"matroska"
+    frames, times = [], []
+    for name, content in walk(top[1][1]):
+        if name == "1654ae6b":
+            ((_, entry),) = walk(content)
+            track = dict(walk(entry))
+            assert (track["d7"], track["86"]) == (b"\x01", b"A_PCM/INT/LIT") and dict(walk(track["e1"]))["6264"] == b"\x08"
+        if name == "1f43b675":
+            (start,) = [int.from_bytes(c, "big") for x, c in walk(content) if x == "e7"]
+            for x, block in walk(content):
+                if x == "a3":
+                    assert block[0] == 0x81 and block[3] & 6 == 4  # track 1, frames of one size
+                    count = block[4] + 1
+                    size, rest = divmod(len(block) - 5, count)
+                    assert rest == 0
+                    times.append(start + int.from_bytes(block[1:3], "big", signed=True))
+                    frames += [block[5 + k * size : 5 + (k + 1) * size] for k in range(count)]
+    assert b"".join(frames) == payload and times == sorted(times) and {len(f) for f in frames} == {192}
+
+
 @pytest.mark.parametrize("kind", [0, 1, 2, 3])
 def test_lacing(kind):
     frames = [b"a" * 300, b"b" * 255, b"c" * 3, b"d" * 9000, b"e"] if kind in (1, 3) else [b"ab", b"cd", b"ef"]
