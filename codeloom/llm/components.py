@@ -30,7 +30,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node with a link; the root is the least node of its component."""
+    """(node, root) for every node with a link; the root is the least node of its component.
+
+    Links of a node with itself or with null are none; repeated links count once; no links give no rows.
+    """
     spark = links.sparkSession
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     path = common.scratch_path(spark, "links")

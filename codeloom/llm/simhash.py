@@ -195,7 +195,7 @@ STAGE_WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Rounds of comparison by pivots across the groups that still meet in a bucket, after the first
 #: one; then all pairs of different groups are compared.
-ROUNDS = 3
+ROUNDS = 1
 #: Members of a bucket whose pairs are rows; the shingles of larger ones meet in blocks.
 FEW = 32
 #: Shingles that one block holds, unless one set has more.
@@ -400,6 +400,13 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     Texts meet what was decided on them in sort-merge joins, whatever the size of either side.
     """
     placed = located(docs)
+    with common.scratch(docs.sparkSession):
+        kept = _kept(placed, radius, similarity)
+    return placed.select("_row", "_at").join(kept.hint("merge"), F.col("_at") == F.col("_kept"), "left_semi").select("_row.*")
+
+
+def _kept(placed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``_kept``: the place of the first document of each group."""
     rows = common.written(_sketches(placed), "sketches")
     sets = rows.groupBy("sid").agg(F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("least"))
     sets = common.written(sets, "sets")
@@ -411,8 +418,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     same = prints.join(heads, "fp").select(F.col("sid").alias("x"), F.col("head").alias("y")).where("x != y")
     member = groups_of_sets(placed, sets, common.written(close.unionByName(same), "close"), similarity)
     named = common.written(sets.select("sid", "least").join(member, sets.sid == member.node, "left").select("least", F.coalesce("root", "sid").alias("root")), "named")
-    kept = common.written(named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._at").alias("_kept")), "kept")
-    return placed.select("_row", "_at").join(kept.hint("merge"), F.col("_at") == F.col("_kept"), "left_semi").select("_row.*")
+    return common.written(named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._at").alias("_kept")), "kept", stays=True)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
