@@ -53,7 +53,7 @@ def base_folder(root: str, compat: bool = False) -> str:
     return repository.root if repository else root
 
 
-def _merge(old: build.Graph, gone: DataFrame, new: build.Graph) -> build.Graph:
+def merge(old: build.Graph, gone: DataFrame, new: build.Graph) -> build.Graph:
     """Raw tables without the files that are gone, and with the new ones."""
     tables = {}
     for name in build.RAW:
@@ -78,7 +78,7 @@ def full_index(spark: SparkSession, root: str, store: Store, languages: list[str
     extracted = _kept(store, registry.extract(paths.read(files, base, jobs), compat))
     raw = build.raw_tables(extracted)
     if not clear:
-        raw = _merge(store.load(), files.select("path"), raw)
+        raw = merge(store.load(), files.select("path"), raw)
     graph = build.derive(store.stage(raw), sequential)
     repository = _repository(root)
     empty = spark.createDataFrame([], "key string, value string")
@@ -110,7 +110,7 @@ def apply_changes(spark: SparkSession, store: Store, changes: DataFrame, content
     """
     gone, wanted = git.split_changes(changes)
     extracted = _kept(store, registry.extract(contents.join(wanted, "path", "left_semi"), compat))
-    raw = _merge(store.load(), gone, build.raw_tables(extracted))
+    raw = merge(store.load(), gone, build.raw_tables(extracted))
     return build.derive(store.stage(raw), sequential), extracted
 
 
@@ -155,6 +155,6 @@ def delete_file(store: Store, path: str) -> None:
     gone = store.spark.createDataFrame([(path,)], "path string")
     old = store.load()
     none = build.Graph(*[getattr(old, n).limit(0) for n in build.RAW])
-    graph = build.derive(store.stage(_merge(old, gone, none)))
+    graph = build.derive(store.stage(merge(old, gone, none)))
     graph.modules = old.modules.unionByName(graph.modules).distinct()
     store.write(graph)

@@ -136,7 +136,7 @@ def status_counts(spark, sf):
     return search.status(_files(spark, sf), _symbols(spark, sf), _calls(spark, sf), resolve.import_edges(_raw_imports(spark, sf)))
 
 
-@query(f'WITH {_FILES} SELECT language, count(*) AS "count" FROM files GROUP BY language')
+@query(f'WITH {_FILES} SELECT language, count(*) AS "count" FROM files GROUP BY language ORDER BY count(*) DESC, language')
 def files_by_language(spark, sf):
     return search.files_by_language(_files(spark, sf))
 
@@ -146,7 +146,7 @@ def count_by_language(spark, sf):
     return paths.count_by_language(_t(spark, sf, "documents").withColumnRenamed("lang", "l").withColumnRenamed("source", "language"))
 
 
-@query(f"WITH {_FILES} SELECT path, language, line_count FROM files")
+@query(f"WITH {_FILES} SELECT path, language, line_count FROM files ORDER BY path")
 def file_list(spark, sf):
     return search.file_list(_files(spark, sf))
 

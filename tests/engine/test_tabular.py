@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from codeloom.plans import tabular
+from codeloom.plans import sources, tabular
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,10 +23,13 @@ def rows(found, names):
     return sorted(repr(tuple(float(f"{r[i]:.9g}") if isinstance(r[i], float) else r[i] for i in order)) for r in found)
 
 
-@pytest.mark.parametrize("name", list(tabular.QUERIES))
+QUERIES, ORACLE_SQL = tabular.QUERIES | sources.QUERIES, tabular.ORACLE_SQL | sources.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_as_sql(spark, con, name):
-    df = tabular.QUERIES[name](spark, SF)
-    want = con.sql(tabular.ORACLE_SQL[name])
+    df = QUERIES[name](spark, SF)
+    want = con.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     got = rows(df.collect(), df.columns)
     assert got == rows(want.fetchall(), want.columns) and (got or name in {"find_kind_language", "find_exact", "sequential_resolution", "first_match", "call_resolution"})
