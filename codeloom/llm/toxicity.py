@@ -324,12 +324,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 made = []
                 for i in range(batch.num_rows):
                     k = lists[i].values.to_numpy()
-                    made.append(k[known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64())), batch.column(3)], names=["digest", "y", "keys", "terms"])
+                    at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+                    made.append(at[known[at] == k].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int32())), batch.column(3)], names=["digest", "y", "places", "terms"])
 
-        got = rows.select("digest", "y", "keys", "terms").mapInArrow(run, "digest binary, y int, keys array<bigint>, terms array<string>").toArrow().sort_by([("y", "ascending"), ("digest", "ascending")])
+        got = rows.select("digest", "y", "keys", "terms").mapInArrow(run, "digest binary, y int, places array<int>, terms array<string>").toArrow().sort_by([("y", "ascending"), ("digest", "ascending")])
     ys = got.column("y").to_pylist()
-    kept = [(k.values.to_numpy(), y, each[y]) for k, y in zip(got.column("keys"), ys, strict=True)]
+    kept = [(known[k.values.to_numpy()], y, each[y]) for k, y in zip(got.column("places"), ys, strict=True)]
     mentions = [(i, t) for i, t in enumerate(got.column("terms").to_pylist()) if t]
     return fitted(kept, mentions, known)
 
