@@ -141,7 +141,7 @@ def near(values: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
         sizes = common.written(sizes, "sizes")
         hot = sizes.where(F.col("n") > bucket).select("key")
         small = level.join(sizes.where(F.col("n") <= bucket).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
-        links = common.written(_links_of_buckets(small, radius).distinct(), "links")
+        links = _links_of_buckets(small, radius).distinct()
         found = links if found is None else found.unionByName(links)
         if hot.isEmpty():
             return found
@@ -288,7 +288,7 @@ def more_pairs(shared: DataFrame, member: DataFrame, turn: int) -> tuple[DataFra
     (sid, key) in which groups meet; the others need no further look."""
     rows = _grouped(shared, member)
     groups = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), "sid")).alias("one"))
-    groups = common.written(groups.select("key", "root", "n", F.col("one.sid").alias("pivot")), "groups")
+    groups = groups.select("key", "root", "n", F.col("one.sid").alias("pivot"))
     largest = groups.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "root", "pivot")).alias("big")).where("groups > 1").select("key", "big")
     others = groups.join(largest, "key").where("root != big.root").groupBy("key").agg(F.first("big").alias("big"), F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), "root", "pivot")).alias("small"))
     others = common.written(others.select("key", F.struct("big.root", "big.pivot").alias("big"), F.struct("small.root", "small.pivot").alias("small")), "others")
@@ -365,11 +365,10 @@ def groups_of_sets(placed: DataFrame, sets: DataFrame, links: DataFrame, similar
     sizes = common.written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = common.written(buckets.join(sizes.hint("merge"), "key"), "shared")
     wanted = sets.select("sid", "least._at").join(shared.select("sid").distinct().hint("merge"), "sid").select("sid", F.col("_at").alias("_place"))
-    wanted = common.written(wanted, "wanted")
     texts = placed.select("_at", "text").join(wanted.hint("merge"), F.col("_at") == F.col("_place")).select("sid", "text")
     shingles = common.written(_shingles(texts), "shingles")
     compared = common.written(first_pairs(shared), "pairs")
-    links = links.unionByName(common.written(similar(compared, shingles, similarity), "similar"))
+    links = links.unionByName(similar(compared, shingles, similarity))
     member = components(links, "x", "y")
     known = member.unionByName(shared.select(F.col("sid").alias("node")).distinct().withColumn("root", F.col("node")), allowMissingColumns=True)
     member = common.written(known.groupBy("node").agg(F.min("root").alias("root")), "members")
@@ -377,19 +376,18 @@ def groups_of_sets(placed: DataFrame, sets: DataFrame, links: DataFrame, similar
         pairs, shared = more_pairs(shared, member, turn)
         pairs = common.written(pairs, "pairs")
         compared = compared.unionByName(pairs)
-        found = common.written(similar(pairs, shingles, similarity), "similar")
-        if not found.isEmpty():
-            member = common.written(_joined(member, found), "members")
-    found = common.written(other_links(shared, member, compared, shingles, similarity), "similar")
-    return member if found.isEmpty() else common.written(_joined(member, found), "members")
+        member = _joined(member, similar(pairs, shingles, similarity))
+    return _joined(member, other_links(shared, member, compared, shingles, similarity))
 
 
 def _joined(member: DataFrame, links: DataFrame) -> DataFrame:
-    """Groups after more links (x, y): whole groups are joined, not their members again."""
+    """Groups after more links (x, y), written: whole groups are joined, not their members again."""
     of = lambda c, name: member.select(F.col("node").alias(c), F.col("root").alias(name))
     between = links.join(of("x", "rx"), "x").join(of("y", "ry"), "y").select("rx", "ry")
     moved = components(between, "rx", "ry").select(F.col("node").alias("root"), F.col("root").alias("_new"))
-    return member.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    if moved.isEmpty():
+        return member
+    return common.written(member.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), "members")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR) -> DataFrame:
@@ -411,13 +409,13 @@ def _kept(placed: DataFrame, radius: int, similarity: float) -> DataFrame:
     sets = rows.groupBy("sid").agg(F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("least"))
     sets = common.written(sets, "sets")
     # A set of shingles has a fingerprint for each way of repeating them.
-    prints = common.written(rows.select("sid", "fp").distinct(), "prints")
-    heads = common.written(prints.groupBy("fp").agg(F.min("sid").alias("head")), "heads")
+    prints = rows.select("sid", "fp").distinct()
+    heads = common.written(rows.groupBy("fp").agg(F.min("sid").alias("head")), "heads")
     close = near(heads.select("fp"), radius)
     close = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     same = prints.join(heads, "fp").select(F.col("sid").alias("x"), F.col("head").alias("y")).where("x != y")
-    member = groups_of_sets(placed, sets, common.written(close.unionByName(same), "close"), similarity)
-    named = common.written(sets.select("sid", "least").join(member, sets.sid == member.node, "left").select("least", F.coalesce("root", "sid").alias("root")), "named")
+    member = groups_of_sets(placed, sets, close.unionByName(same), similarity)
+    named = sets.select("sid", "least").join(member, sets.sid == member.node, "left").select("least", F.coalesce("root", "sid").alias("root"))
     return common.written(named.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first._at").alias("_kept")), "kept", stays=True)
 
 
