@@ -7,6 +7,7 @@ being read.
 
 from __future__ import annotations
 
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -120,14 +121,17 @@ class Store:
         self._write({name: getattr(raw, name) for name in RAW}, folder)
         return Graph(**{name: self.spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}") for name in RAW})
 
-    def vacuum(self) -> None:
-        """Delete snapshots and scratch folders that do not count."""
-        keep = self.current()
+    def vacuum(self, older_than: float = 86400) -> None:
+        """Delete snapshots and scratch folders that do not count.
+
+        Those of the last ``older_than`` seconds stay: a job or a reader may still need them.
+        """
+        keep, latest = self.current(), (time.time() - older_than) * 1000
         fs, p = self._fs(self.path)
         if fs.exists(p):
             for entry in fs.listStatus(p):
                 name = entry.getPath().getName()
-                if entry.isDirectory() and (keep is None or not keep.endswith("/" + name)):
+                if entry.isDirectory() and entry.getModificationTime() <= latest and (keep is None or not keep.endswith("/" + name)):
                     fs.delete(entry.getPath(), True)
 
     def clear(self) -> None:

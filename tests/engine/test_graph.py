@@ -219,12 +219,30 @@ def test_crawl(spark, repo, tmp_path):
     assert paths.list_paths(str(plain)) == ["a.PY", "b.cjs", "sub/d.hpp", "sub/eb.ts"]
     rows = paths.count_by_language(paths.crawl(spark, str(plain))).collect()
     assert {r.language: r["count"] for r in rows} == {"Python": 1, "JavaScript": 1, "C++": 1, "TypeScript": 1}
-    store_read = paths.crawl(spark, f"file://{plain}")
-    assert store_read.count() == 4
+    assert paths.crawl(spark, f"file://{plain}").count() == 4
     with pytest.raises(paths.NotADirectory):
         paths.crawl(spark, str(tmp_path / "none"))
 
 
+def test_other_stores_are_crawled_and_read_alike(spark, tmp_path, monkeypatch):
+    plain = tmp_path / "plain"
+    found = {"a.PY": "x", "pkg/__init__.py": "y = 1", "pkg/_own/_a.py": "z", "pkg/_own/b.py": "w", "pkg/_k=v.py": "", "o [1]{2},*?/p q.go": "package p", "n=1/m.rs": "", "sub/.gitignore": "e*\n", "deep/er/é.ts": "é"}
+    write(plain, found | {"sub/ea.ts": "no", "node_modules/x.js": "no", ".h/z.py": "no", "pkg/b.txt": "no"})
+    want = sorted((p, content.encode()) for p, content in found.items() if p != "sub/.gitignore")
+    contents_of = lambda root: sorted((r.path, bytes(r.content)) for r in paths.read(paths.crawl(spark, root), root).collect())
+    assert contents_of(str(plain)) == want
+    monkeypatch.setattr(paths, "local_root", lambda root: None)
+    monkeypatch.setattr(paths, "BLOCK_BYTES", 8)
+    assert contents_of(f"file://{plain}") == want
+    assert paths.crawl(spark, f"file://{plain}", ["Go", "Rust"]).count() == 2
+    assert paths.crawl(spark, f"file://{plain}", compat=True).count() == len(want) + 1
+    assert contents_of(f"file://{plain}/pkg/_own") == [("_a.py", b"z"), ("b.py", b"w")]
+    (tmp_path / "empty").mkdir()
+    assert contents_of(f"file://{tmp_path}/empty") == []
+    with pytest.raises(paths.NotADirectory):
+        paths.crawl(spark, f"file://{tmp_path}/none")
+
+
 def test_index_and_update_equal_indexing_anew(spark, repo, tmp_path):
     store = Store(spark, str(tmp_path / "graphs"), "g")
     assert store.current() is None and store.load().symbols.count() == 0
@@ -290,8 +308,12 @@ def test_no_clear_delete_and_metadata(spark, repo, tmp_path):
     index.delete_file(store, "pkg/a.py")
     g = store.load()
     assert {r.file_path for r in g.symbols.collect()} == {"main.go"} and g.calls.count() == 0 and g.modules.count() == 2
-    store.vacuum()
-    assert len([x for x in os.listdir(store.path) if not x.startswith(".") and x != "CURRENT"]) == 1
+    folders = lambda: [x for x in os.listdir(store.path) if not x.startswith(".") and x != "CURRENT"]
+    before = folders()
+    store.vacuum()  # all are of today
+    assert folders() == before
+    store.vacuum(older_than=0)
+    assert len(folders()) == 1
     store.clear()
     assert store.load().files.count() == 0 and store.get_metadata("k") is None and store.name == "codeloom"
 
