@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 from .functions import names
 from .operators import search
 from .plans import index, render
-from .plans.cypher import CypherError, cypher
+from .plans.cypher import CypherError
+from .plans.cypher_write import execute
 from .sources import git, paths
 from .sources.store import LAST_COMMIT, Store
 
@@ -66,10 +67,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
         got = index.update(spark, args.path, store, args.since, args.dry_run, None, args.compat)
         head = ["Dry run - not writing to the store:", *[f"  {kind}: {path}" for path, _, kind in got.changes], ""] if args.dry_run else []
         return "\n".join([*head, got.text()])
-    graph = store.load()
     if args.command == "query":
-        rows = cypher(graph, args.cypher, store.table("metadata"))
+        rows = execute(store, args.cypher)
         return render.as_json(rows) if args.format == "json" else render.as_table(rows)
+    graph = store.load()
     if args.command == "find":
         rows = search.find(graph.symbols, args.pattern, args.kind, args.language, args.limit, args.compat)
         return render.find_table(rows, args.pattern, args.full_paths)

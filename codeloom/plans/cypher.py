@@ -1,10 +1,11 @@
-"""A read-only subset of the Cypher query language, lowered to DataFrames.
+"""Reading queries of the Cypher language, lowered to DataFrames.
 
 Reading clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, UNWIND, RETURN [DISTINCT], ORDER BY, SKIP,
 LIMIT and UNION [ALL].  A pattern becomes a chain of equi-joins between the node and edge tables;
 paths of variable length are unrolled; a pattern in a condition is a semi- or anti-join; the items
 of RETURN and WITH without an aggregate are the grouping.  A property that no node has is null.
-Clauses that write raise ``UnsupportedCypher``.
+``*`` without an upper bound follows trails, which use no edge twice, until none goes on.  Clauses
+that write are parsed here and carried out by ``cypher_write``; ``cypher`` refuses them.
 """
 
 from __future__ import annotations
@@ -18,10 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.build import Graph
-
-#: Longest path that ``*`` without an upper bound follows.
-MAX_DEPTH = 10
-
+from ..sources import scratch
 
 class CypherError(ValueError):
     """The text is no query of the language."""
@@ -79,6 +77,28 @@ class Unwind:
     name: str
 
 
+@dataclass
+class Assign:
+    """SET or REMOVE: (variable, property, value)."""
+
+    items: list[tuple[str, str, tuple]]
+
+
+@dataclass
+class Delete:
+    names: list[str]
+
+
+@dataclass
+class Create:
+    """CREATE, or MERGE with what is set in either case."""
+
+    paths: list[Path]
+    merge: bool = False
+    made: Assign | None = None
+    met: Assign | None = None
+
+
 @dataclass
 class Projection:
     """RETURN, or WITH, which may filter what it gives."""
@@ -93,7 +113,8 @@ class Projection:
 
 @dataclass
 class Query:
-    """Clauses in their order, the last one RETURN; ``union`` is what UNION adds, and whether ALL."""
+    """Clauses in their order, the last one RETURN unless the query writes; ``union`` is what UNION
+    adds, and whether ALL."""
 
     clauses: list = field(default_factory=list)
     union: tuple[Query, bool] | None = None
@@ -102,7 +123,8 @@ class Query:
 class Parser:
     """Recursive descent; expressions are tuples of an operator and its operands."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, writing: bool = False):
+        self.writing = writing
         self.tokens: list[tuple[str, str]] = []
         self.ends: list[tuple[int, int]] = []
         self.text, at, self.hidden = text, 0, count()
@@ -155,7 +177,12 @@ class Parser:
         q = Query()
         while True:
             if self.word() in _WRITING:
-                raise UnsupportedCypher(f"{self.word().upper()} is not a reading clause")
+                q.clauses.append(self.update())
+                continue
+            if any(isinstance(c, Assign | Delete | Create) for c in q.clauses) and self.word() != "return":
+                if self.word():
+                    raise UnsupportedCypher(f"{self.word().upper()} is not supported after clauses that write")
+                break
             optional = self.take_word("optional")
             if self.take_word("match"):
                 paths = [self.path()]
@@ -175,9 +202,10 @@ class Parser:
                 q.clauses.append(p)
             else:
                 break
-        if not self.take_word("return"):
+        if self.take_word("return"):
+            q.clauses.append(self.projection(False))
+        elif not q.clauses or not isinstance(q.clauses[-1], Assign | Delete | Create):
             self.fail("expected MATCH or RETURN")
-        q.clauses.append(self.projection(False))
         if self.take_word("union"):
             every = self.take_word("all")
             q.union = (self.query(), every)
@@ -189,6 +217,55 @@ class Parser:
             self.fail("unexpected text")
         return q
 
+    def update(self) -> Assign | Delete | Create:
+        word = self.word()
+        if not self.writing:
+            raise UnsupportedCypher(f"{word.upper()} is not a reading clause")
+        if word in ("set", "remove"):
+            return self.assignments()
+        if self.take_word("detach", "delete") or self.take_word("delete"):
+            return Delete(self.several(self.identifier))
+        if self.take_word("create"):
+            return Create(self.several(self.path))
+        if self.take_word("merge"):
+            c = Create([self.path()], True)
+            while self.take_word("on"):
+                made = self.take_word("create")
+                if not made and not self.take_word("match"):
+                    self.fail("expected CREATE or MATCH")
+                if made:
+                    c.made = self.assignments()
+                else:
+                    c.met = self.assignments()
+            return c
+        raise UnsupportedCypher(f"{word.upper()} is not supported")
+
+    def several(self, one) -> list:
+        out = [one()]
+        while self.take(","):
+            out.append(one())
+        return out
+
+    def assignments(self) -> Assign:
+        removing = self.take_word("remove")
+        if not removing and not self.take_word("set"):
+            self.fail("expected SET")
+
+        def one() -> list[tuple[str, str, tuple]]:
+            name = self.identifier()
+            if not removing and self.take("+"):
+                self.need("=")
+                return [(name, key, e) for key, e in self.properties().items()]
+            if not self.take("."):
+                raise UnsupportedCypher("only properties can be set or removed")
+            key = self.identifier()
+            if removing:
+                return [(name, key, ("value", None))]
+            self.need("=")
+            return [(name, key, self.expression())]
+
+        return Assign([x for items in self.several(one) for x in items])
+
     def projection(self, named: bool) -> Projection:
         p = Projection(self.take_word("distinct"))
         if self.take("*"):
@@ -577,7 +654,8 @@ class Lowering:
 
     def _variable(self, df: DataFrame, e: Edge, key: str) -> DataFrame:
         low, high = e.length
-        high = MAX_DEPTH if high is None else high
+        if high is None:
+            return self._unbounded(df, e, key)
         hops = self._hops(e).select("_a", F.col("_b").alias("_next"), F.col("_ids").alias("_id"))
         base = df.withColumns({f"{e.name}___b": F.col(key), f"{e.name}___ids": F.array().cast("array<string>")})
         levels = [base] if low == 0 else []
@@ -591,6 +669,26 @@ class Lowering:
         out = reduce(DataFrame.unionByName, levels) if levels else base.limit(0)
         return out.withColumn(f"{e.name}___length", F.size(f"{e.name}___ids"))
 
+    def _unbounded(self, df: DataFrame, e: Edge, key: str) -> DataFrame:
+        """Trails from each start once, a written table for each length, until no trail goes on.
+
+        In a graph with many cycles there are very many trails; a bound keeps them few.
+        """
+        low, end, ids = e.length[0], f"{e.name}___b", f"{e.name}___ids"
+        hops = self._hops(e).select("_a", F.col("_b").alias("_next"), F.col("_ids").alias("_id"))
+        level = df.select(F.col(key).alias("_start")).where("_start is not null").distinct()
+        level = scratch.kept(level.withColumns({end: F.col("_start"), ids: F.array().cast("array<string>")}), "trails")
+        levels = [level] if low == 0 else []
+        for n in count(1):
+            step = level.join(hops, F.col(end) == F.col("_a")).where(~F.arrays_overlap(ids, "_id"))
+            level = scratch.kept(step.select("_start", F.col("_next").alias(end), F.concat(ids, "_id").alias(ids)), "trails")
+            if level.isEmpty():
+                break
+            if n >= low:
+                levels.append(level)
+        found = reduce(DataFrame.unionByName, levels) if levels else level
+        return df.join(found, F.col(key) == F.col("_start")).drop("_start").withColumn(f"{e.name}___length", F.size(ids))
+
     def _filtered(self, df: DataFrame, n: Node) -> DataFrame:
         """Rows whose known node also has these labels and properties."""
         if n.labels:
@@ -827,14 +925,17 @@ class Lowering:
 
     def run(self, q: Query, spark: SparkSession) -> DataFrame:
         for clause in q.clauses[:-1]:
-            if isinstance(clause, Match):
-                self.match(clause)
-            elif isinstance(clause, Unwind):
-                self.unwind(clause, spark)
-            else:
-                self.carry(clause, spark)
+            self.read(clause, spark)
         return self.give(q.clauses[-1], spark)
 
+    def read(self, clause: Match | Unwind | Projection, spark: SparkSession) -> None:
+        if isinstance(clause, Match):
+            self.match(clause)
+        elif isinstance(clause, Unwind):
+            self.unwind(clause, spark)
+        else:
+            self.carry(clause, spark)
+
     def _items(self, p: Projection) -> list[tuple[tuple, str]]:
         every = [(("name", n), n) for n in self.kinds if not n.startswith("_")]
         return [x for item in p.items for x in (every if item == (("all",), "*") else [item])]

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+from dataclasses import replace
 
 import pytest
 from fixture_repo import FILES, commit, contents, git, write
@@ -12,6 +13,7 @@ from codeloom.operators import build, resolve, search, traverse
 from codeloom.operators.extract import registry
 from codeloom.plans import index
 from codeloom.plans.cypher import CypherError, UnsupportedCypher, cypher
+from codeloom.plans.cypher_write import execute
 from codeloom.sources import git as git_source
 from codeloom.sources import paths
 from codeloom.sources.store import LAST_COMMIT, Store
@@ -189,6 +191,58 @@ def test_cypher_with_unwind_union_and_patterns(graph):
         cypher(graph, "MATCH (f:File) WHERE (f)-[:CONTAINS]->(s) OR f.path = 'x' RETURN f")
 
 
+def test_paths_without_a_bound(spark, graph):
+    rows = lambda text: sorted(tuple(r) for r in cypher(chain, text).collect())
+    nodes = [(f"Function|f{k}", "Function", f"f{k}", f"f{k}") for k in range(16)]
+    symbols = spark.createDataFrame(nodes, "node_key string, label string, id string, name string")
+    symbols = symbols.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in graph.symbols.schema if f.name not in symbols.columns])
+    calls = spark.createDataFrame([(f"Function|f{k}", f"Function|f{(k + 1) % 15}", k) for k in range(15)], graph.calls.schema)
+    chain = replace(graph, symbols=symbols, calls=calls)
+    # A ring of 15: one trail of each length, and the longest leads back to its start.
+    assert rows("MATCH (a:Function {name: 'f0'})-[r:CALLS*]->(b) RETURN b.name, size(r)") == sorted((f"f{k % 15}", k) for k in range(1, 16))
+    assert len(rows("MATCH (a:Function {name: 'f0'})-[r:CALLS*13..]->(b) RETURN b.name")) == 3
+    assert rows("MATCH (a:Function {name: 'f0'})-[:CALLS*0..]->(b:Function {name: 'f0'}) RETURN a.name") == [("f0",)] * 2
+    assert rows("MATCH (a:Function {name: 'f15'})-[:CALLS*]->(b) RETURN b.name") == []
+    assert len(rows("MATCH (a:Function)<-[:CALLS*]-(b) RETURN a.name, b.name")) == 225
+
+
+def test_cypher_writes(spark, graph, tmp_path):
+    store = Store(spark, str(tmp_path / "graphs"))
+    store.write(graph)
+    run = lambda text: [tuple(r) for r in execute(store, text).collect()]
+    assert run("MATCH (f:Function {name: 'helper'}) RETURN count(*)") == [(1,)]
+    edges = run("MATCH ()-[r:CALLS]->() RETURN count(r)")[0][0]
+    # SET, REMOVE
+    assert run("MATCH (f:Function {name: 'helper'}) SET f.docstring = 'doc of ' + f.name, f.start_line = 99 RETURN f.docstring, f.start_line") == [("doc of helper", 99)]
+    assert run("MATCH (f) WHERE f.start_line = 99 RETURN f.name, f.docstring") == [("helper", "doc of helper")]
+    assert run("MATCH (f:Function {name: 'helper'}) REMOVE f.docstring SET f += {visibility: 'odd'}") == []
+    assert run("MATCH (f:Function {name: 'helper'}) RETURN f.docstring, f.visibility") == [(None, "odd")]
+    assert run("MATCH (f:File) SET f.line_count = f.line_count + 1") == [] and run("MATCH (f:File) RETURN f.line_count ORDER BY f.path") == [(10,), (18,)]
+    run("MATCH (a)-[r:CALLS]->(b) SET r.call_site_line = 7")
+    assert run("MATCH ()-[r:CALLS]->() RETURN DISTINCT r.call_site_line") == [(7,)]
+    # CREATE
+    assert run("CREATE (n:Function {id: 'x:1', name: 'made'}) RETURN n.name, n.docstring, n.language") == [("made", "", None)]
+    run("MATCH (n:Function {name: 'made'}), (h:Function {name: 'helper'}) CREATE (n)-[:CALLS {call_site_line: 3}]->(h), (m:Module {name: 'own', is_external: false})<-[:IMPORTS]-(h)")
+    assert run("MATCH (n:Function {name: 'made'})-[r:CALLS]->(h)-[:IMPORTS]->(m) RETURN h.name, r.call_site_line, m.name, m.is_external") == [("helper", 3, "own", False)]
+    run("UNWIND ['p', 'q', 'q'] AS x MERGE (m:Module {name: x}) ON CREATE SET m.is_external = true")
+    assert run("MATCH (m:Module) WHERE m.name IN ['p', 'q'] RETURN m.name, m.is_external ORDER BY m.name") == [("p", True), ("q", True)]
+    # MERGE
+    merge = "MATCH (n:Function {name: 'made'}) MERGE (m:Module {name: 'own'}) ON CREATE SET m.is_external = true ON MATCH SET n.docstring = 'met' MERGE (n)-[r:IMPORTS]->(m) ON CREATE SET r.line = 5 ON MATCH SET r.line = 6 RETURN n.docstring, m.is_external, r.line"
+    assert [run(merge), run(merge)] == [[("met", False, 5)], [("met", False, 6)]]
+    # DELETE
+    run("MATCH (:Function {name: 'made'})-[r:CALLS]->() DELETE r")
+    assert run("MATCH ()-[r:CALLS]->() RETURN count(r)") == [(edges,)]
+    run("MATCH (n:Function {name: 'made'}) OPTIONAL MATCH (n)-[:CALLS]->(h) DETACH DELETE n, h")
+    assert run("MATCH (n) WHERE n.name = 'made' RETURN n") == [] and run("MATCH ()-[r:IMPORTS]->(m:Module {name: 'own'}) RETURN count(r)") == [(1,)]
+    before = store.current()
+    for text in ("CREATE (n)", "CREATE (n:Widget {id: 'x'})", "CREATE (n:Function {name: 'x'})", "CREATE (m:Module {name: 'own'})", "MATCH (f:File) SET f.path = 'x'", "MATCH (f:File) SET f.nosuch = 1", "MATCH (f:File) SET f.signature = 'x'", "MATCH (f:File) SET f:Module", "MERGE (m:Module {name: 'z', is_external: true})", "MATCH (a:File), (b:Module) CREATE (a)-[:KNOWS]->(b)", "MATCH (n:File) DELETE n MATCH (m) RETURN m", "FOREACH (x IN [1] | CREATE (n))", "DELETE n"):
+        with pytest.raises(CypherError):
+            execute(store, text)
+    assert store.current() == before
+    run("MATCH (n) DELETE n")
+    assert all(df.count() == 0 for name, df in store.load().tables().items() if not name.startswith("raw_"))
+
+
 def test_cypher_errors(graph):
     for text in ("MATCH (n) DELETE n", "CREATE (n:X)", "MERGE (f:File {path: 'x'})", "MATCH (n) SET n.a = 1 RETURN n", "MATCH (n:File) RETURN nosuch(n.path)"):
         with pytest.raises(UnsupportedCypher):
