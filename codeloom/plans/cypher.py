@@ -89,6 +89,13 @@ class Delete:
     names: list[str]
 
 
+@dataclass
+class Foreach:
+    name: str
+    value: tuple
+    updates: list
+
+
 @dataclass
 class Create:
     """CREATE, or MERGE with what is set in either case."""
@@ -99,6 +106,10 @@ class Create:
     met: Assign | None = None
 
 
+#: Clauses that write.
+UPDATES = (Assign, Delete, Create, Foreach)
+
+
 @dataclass
 class Projection:
     """RETURN, or WITH, which may filter what it gives."""
@@ -179,7 +190,7 @@ class Parser:
             if self.word() in _WRITING:
                 q.clauses.append(self.update())
                 continue
-            if any(isinstance(c, Assign | Delete | Create) for c in q.clauses) and self.word() != "return":
+            if any(isinstance(c, UPDATES) for c in q.clauses) and self.word() != "return":
                 if self.word():
                     raise UnsupportedCypher(f"{self.word().upper()} is not supported after clauses that write")
                 break
@@ -204,7 +215,7 @@ class Parser:
                 break
         if self.take_word("return"):
             q.clauses.append(self.projection(False))
-        elif not q.clauses or not isinstance(q.clauses[-1], Assign | Delete | Create):
+        elif not q.clauses or not isinstance(q.clauses[-1], UPDATES):
             self.fail("expected MATCH or RETURN")
         if self.take_word("union"):
             every = self.take_word("all")
@@ -217,7 +228,7 @@ class Parser:
             self.fail("unexpected text")
         return q
 
-    def update(self) -> Assign | Delete | Create:
+    def update(self) -> Assign | Delete | Create | Foreach:
         word = self.word()
         if not self.writing:
             raise UnsupportedCypher(f"{word.upper()} is not a reading clause")
@@ -238,6 +249,18 @@ class Parser:
                 else:
                     c.met = self.assignments()
             return c
+        if self.take_word("foreach"):
+            self.need("(")
+            name = self.identifier()
+            if not self.take_word("in"):
+                self.fail("expected IN")
+            value, updates = self.expression(), []
+            self.need("|")
+            while not self.take(")"):
+                if self.word() not in _WRITING:
+                    self.fail("expected a clause that writes")
+                updates.append(self.update())
+            return Foreach(name, value, updates)
         raise UnsupportedCypher(f"{word.upper()} is not supported")
 
     def several(self, one) -> list:

@@ -1,4 +1,4 @@
-"""Cypher that writes: CREATE, MERGE, SET, REMOVE and DELETE over a store.
+"""Cypher that writes: CREATE, MERGE, SET, REMOVE, DELETE and FOREACH over a store.
 
 What the reading clauses find is a table of rows; a clause that writes turns it into new versions
 of the tables it touches, by joins, and all of them become one new snapshot.  Nodes are told apart
@@ -8,7 +8,8 @@ ends, so
 * CREATE needs the key and fails where the node or edge exists; MERGE goes by the key alone;
 * the key cannot be set, nor a property that a label does not have;
 * of several values for one property the greatest counts, whatever order rows come in;
-* with a node its edges go, with DETACH or without.
+* with a node its edges go, with DETACH or without;
+* FOREACH takes all elements of all rows at once, and rows cannot be returned after it.
 
 Rows in which an optional variable is null change nothing.  Indexing and updating resolve the graph
 from the source files, so they undo what was written by hand.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..sources.store import Store
-from .cypher import EDGE_PROPERTIES, EDGE_TABLES, NODE_PROPERTIES, Assign, Create, CypherError, Delete, Edge, Lowering, Node, Parser, Projection, Tables, UnsupportedCypher, cypher
+from .cypher import EDGE_PROPERTIES, EDGE_TABLES, NODE_PROPERTIES, UPDATES, Assign, Create, CypherError, Delete, Edge, Foreach, Lowering, Node, Parser, Projection, Tables, UnsupportedCypher, cypher
 
 #: Table and key of nodes that are no symbols.
 KEYED = {"File": ("files", "path"), "Module": ("modules", "name"), "Metadata": ("metadata", "key")}
@@ -62,7 +63,7 @@ class Writing(Lowering):
                 return self._get(table).withColumn("_key", names.node_key(F.lit(label), F.col(key)))
         return self._get(table).withColumn("_key", F.col("node_key"))
 
-    def apply(self, clause: Assign | Delete | Create) -> None:
+    def apply(self, clause: Assign | Delete | Create | Foreach) -> None:
         if self.frame is None:
             self.frame = self.tables.graph.files.sparkSession.range(1).select(F.lit(1).alias("_one"))
         if isinstance(clause, Assign):
@@ -70,9 +71,19 @@ class Writing(Lowering):
         elif isinstance(clause, Delete):
             for name in clause.names:
                 self.delete(name)
+        elif isinstance(clause, Foreach):
+            self.each(clause)
         else:
             self.create(clause)
 
+    def each(self, clause: Foreach) -> None:
+        frame, kinds = self.frame, dict(self.kinds)
+        self.frame = frame.withColumn(f"{clause.name}__value", F.explode(self.column(clause.value)))
+        self.kinds[clause.name] = "value"
+        for update in clause.updates:
+            self.apply(update)
+        self.frame, self.kinds = frame, kinds
+
     # - values -
 
     def assign(self, clause: Assign, when: Column) -> None:
@@ -218,14 +229,16 @@ class Writing(Lowering):
 def execute(store: Store, text: str) -> DataFrame:
     """Run a query over a store, whether it reads or writes; its rows (none without RETURN)."""
     q, spark = Parser(text, writing=True).query(), store.spark
-    if not any(isinstance(c, Assign | Delete | Create) for c in q.clauses):
+    if not any(isinstance(c, UPDATES) for c in q.clauses):
         return cypher(store.load(), text, store.table("metadata"))
     if q.union is not None:
         raise UnsupportedCypher("the parts of a UNION cannot write")
+    if isinstance(q.clauses[-1], Projection) and any(isinstance(c, Foreach) for c in q.clauses):
+        raise UnsupportedCypher("RETURN is not supported after FOREACH")
     work = Writing(Tables(store.load(), store.table("metadata")))
     shown = q.clauses.pop() if isinstance(q.clauses[-1], Projection) else None
     for clause in q.clauses:
-        if isinstance(clause, Assign | Delete | Create):
+        if isinstance(clause, UPDATES):
             work.apply(clause)
         else:
             work.read(clause, spark)

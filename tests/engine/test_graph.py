@@ -226,6 +226,8 @@ def test_cypher_writes(spark, graph, tmp_path):
     assert run("MATCH (n:Function {name: 'made'})-[r:CALLS]->(h)-[:IMPORTS]->(m) RETURN h.name, r.call_site_line, m.name, m.is_external") == [("helper", 3, "own", False)]
     run("UNWIND ['p', 'q', 'q'] AS x MERGE (m:Module {name: x}) ON CREATE SET m.is_external = true")
     assert run("MATCH (m:Module) WHERE m.name IN ['p', 'q'] RETURN m.name, m.is_external ORDER BY m.name") == [("p", True), ("q", True)]
+    run("MATCH (f:File) FOREACH (x IN CASE WHEN f.language = 'Go' THEN ['g1', 'g2'] ELSE [] END | MERGE (m:Module {name: x}) MERGE (f)-[:IMPORTS]->(m))")
+    assert run("MATCH (f:File)-[:IMPORTS]->(m:Module) WHERE m.name STARTS WITH 'g' RETURN f.path, m.name ORDER BY m.name") == [("main.go", "g1"), ("main.go", "g2")]
     # MERGE
     merge = "MATCH (n:Function {name: 'made'}) MERGE (m:Module {name: 'own'}) ON CREATE SET m.is_external = true ON MATCH SET n.docstring = 'met' MERGE (n)-[r:IMPORTS]->(m) ON CREATE SET r.line = 5 ON MATCH SET r.line = 6 RETURN n.docstring, m.is_external, r.line"
     assert [run(merge), run(merge)] == [[("met", False, 5)], [("met", False, 6)]]
@@ -235,7 +237,7 @@ def test_cypher_writes(spark, graph, tmp_path):
     run("MATCH (n:Function {name: 'made'}) OPTIONAL MATCH (n)-[:CALLS]->(h) DETACH DELETE n, h")
     assert run("MATCH (n) WHERE n.name = 'made' RETURN n") == [] and run("MATCH ()-[r:IMPORTS]->(m:Module {name: 'own'}) RETURN count(r)") == [(1,)]
     before = store.current()
-    for text in ("CREATE (n)", "CREATE (n:Widget {id: 'x'})", "CREATE (n:Function {name: 'x'})", "CREATE (m:Module {name: 'own'})", "MATCH (f:File) SET f.path = 'x'", "MATCH (f:File) SET f.nosuch = 1", "MATCH (f:File) SET f.signature = 'x'", "MATCH (f:File) SET f:Module", "MERGE (m:Module {name: 'z', is_external: true})", "MATCH (a:File), (b:Module) CREATE (a)-[:KNOWS]->(b)", "MATCH (n:File) DELETE n MATCH (m) RETURN m", "FOREACH (x IN [1] | CREATE (n))", "DELETE n"):
+    for text in ("CREATE (n)", "CREATE (n:Widget {id: 'x'})", "CREATE (n:Function {name: 'x'})", "CREATE (m:Module {name: 'own'})", "MATCH (f:File) SET f.path = 'x'", "MATCH (f:File) SET f.nosuch = 1", "MATCH (f:File) SET f.signature = 'x'", "MATCH (f:File) SET f:Module", "MERGE (m:Module {name: 'z', is_external: true})", "MATCH (a:File), (b:Module) CREATE (a)-[:KNOWS]->(b)", "MATCH (n:File) DELETE n MATCH (m) RETURN m", "FOREACH (x IN [1] | CREATE (n))", "FOREACH (x IN ['a'] | MERGE (m:Module {name: x})) RETURN 1", "FOREACH (x IN ['a'] | RETURN x)", "DELETE n"):
         with pytest.raises(CypherError):
             execute(store, text)
     assert store.current() == before
