@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..operators import build, search
 from ..operators.extract import registry
+from ..sources import scratch
+from ..sources.store import Store
 from . import index, render
+from .cypher_write import execute
 
 TEMPLATES: dict[str, tuple[str, str]] = {
     "Python": ("py", '''import os
@@ -293,6 +296,9 @@ def _raw(spark: SparkSession, sf: str, where: str = "true") -> build.Graph:
     return build.raw_tables(registry.extract(files.where(where)))
 
 
+_EDGES = "SELECT 'File|' || path AS src_key, node_key AS dst_key FROM nodes UNION SELECT c.node_key, n.node_key FROM nodes m JOIN nodes c ON c.path = m.path AND c.name = m.container AND c.kind IN ('Class', 'Struct') JOIN nodes n ON n.id = m.id WHERE m.container IS NOT NULL"
+
+
 def _graph(spark: SparkSession, sf: str) -> build.Graph:
     return build.derive(_raw(spark, sf))
 
@@ -302,7 +308,7 @@ def graph_symbols(spark, sf):
     return _graph(spark, sf).symbols.select("node_key", "label", "id", "name", "file_path", "start_line", "end_line", "signature", "visibility", "is_async", "docstring", "language")
 
 
-@query(f"WITH {_golden()} SELECT 'File|' || path AS src_key, node_key AS dst_key FROM nodes UNION SELECT c.node_key, n.node_key FROM nodes m JOIN nodes c ON c.path = m.path AND c.name = m.container AND c.kind IN ('Class', 'Struct') JOIN nodes n ON n.id = m.id WHERE m.container IS NOT NULL")
+@query(f"WITH {_golden()} {_EDGES}")
 def graph_contains(spark, sf):
     return _graph(spark, sf).contains.select("src_key", "dst_key")
 
@@ -350,6 +356,48 @@ def update_replaces_files(spark, sf):
     return build.derive(index.merge(old, new.files.select("path"), new)).symbols.select("node_key")
 
 
+# --- Cypher over the graph of all files ---------------------------------------------------
+
+@query(
+    f"WITH RECURSIVE {_golden()}, e AS ({_EDGES}), walk AS (SELECT src_key AS root, dst_key, 1 AS hops FROM e WHERE starts_with(src_key, 'File|') UNION ALL SELECT root, e.dst_key, hops + 1 FROM walk JOIN e ON walk.dst_key = e.src_key) "
+    "SELECT root, dst_key AS node_key, CAST(hops AS BIGINT) AS hops FROM walk"
+)
+def cypher_unbounded(spark, sf):
+    """All that files hold, over paths of any length."""
+    return execute(_stored(spark, sf), "MATCH (f:File)-[r:CONTAINS*]->(s) RETURN id(f) AS root, id(s) AS node_key, size(r) AS hops")
+
+
+def _stored(spark: SparkSession, sf: str) -> Store:
+    """The graph in a store of its own."""
+    store = Store(spark, scratch.scratch_path(spark, "graphs"))
+    store.write(_graph(spark, sf))
+    return store
+
+
+def _written(spark: SparkSession, sf: str, text: str) -> build.Graph:
+    """The graph after a query that writes."""
+    store = _stored(spark, sf)
+    execute(store, text)
+    return store.load()
+
+
+@query(f"WITH {_golden()} SELECT node_key, CASE WHEN kind = 'Function' AND is_async THEN 'awaits ' || name ELSE coalesce(docstring, '') END AS docstring FROM nodes")
+def cypher_set(spark, sf):
+    return _written(spark, sf, "MATCH (n:Function) WHERE n.is_async SET n.docstring = 'awaits ' + n.name").symbols.select("node_key", "docstring")
+
+
+@query(f"WITH {_golden()}, kept AS (SELECT * FROM nodes WHERE NOT (kind = 'Function' AND visibility = 'private')) SELECT DISTINCT f.node_key AS src_key, t.node_key AS dst_key, c.line AS call_site_line FROM cls c JOIN kept f ON f.path = c.path AND f.kind IN ('Function', 'Method') AND c.line BETWEEN f.start_line AND f.end_line JOIN kept t ON t.name = c.callee AND t.kind = 'Function'")
+def cypher_delete(spark, sf):
+    """The calls that stay when private functions go."""
+    return _written(spark, sf, "MATCH (n:Function {visibility: 'private'}) DETACH DELETE n").calls.select("src_key", "dst_key", "call_site_line")
+
+
+@query(f"WITH {_golden()} SELECT 'File|' || path AS src_key, 'Module|' || target AS dst_key, coalesce(alias, '') AS alias, line FROM imps UNION ALL SELECT 'File|' || path, 'Module|platform', 'p', 1 FROM imps WHERE target = 'os'")
+def cypher_merge(spark, sf):
+    text = "MATCH (f:File)-[:IMPORTS]->(:Module {name: 'os'}) MERGE (m:Module {name: 'platform'}) MERGE (f)-[r:IMPORTS]->(m) ON CREATE SET r.line = 1, r.alias = 'p'"
+    return _written(spark, sf, text).imports.select("src_key", "dst_key", "alias", "line")
+
+
 # --- what the commands print --------------------------------------------------------------
 
 
