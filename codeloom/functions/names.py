@@ -77,10 +77,6 @@ def language_column(path: Column) -> Column:
     return _lookup(extension_column(path), LANGUAGE_OF_EXTENSION)
 
 
-def parse_language_column(text: Column) -> Column:
-    return _lookup(F.lower(F.trim(text)), SPELLINGS)
-
-
 def symbol_id(path: Column, name: Column, line: Column) -> Column:
     return F.concat_ws(":", path, name, line.cast("string"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -49,21 +48,31 @@ def extract_file(path: str, language: str, content: bytes, compat: bool = False)
     return row
 
 
+#: Records, and at most files, that one batch of results holds unless one file has more.
+BATCH_RECORDS, BATCH_FILES = 20_000, 1_000
+
+
 def extract(files: DataFrame, compat: bool = False) -> DataFrame:
     """Extract from ``path``, ``language`` and ``content`` (binary); null content is an error."""
     ship(files.sparkSession)
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if content is None:
-                    row = extract_file(path, language, b"", compat) | {"error": "unreadable", "symbols": [], "imports": [], "calls": [], "inherits": []}
+                    yield extract_file(path, language, b"", compat) | {"error": "unreadable", "symbols": [], "imports": [], "calls": [], "inherits": []}
                 else:
-                    row = extract_file(path, language, content, compat)
-                yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
-
-    return files.select("path", "language", F.col("content").cast("binary")).mapInArrow(run, SCHEMA)
+                    yield extract_file(path, language, content, compat)
 
+    def run(batches):
+        held, records = [], 0
+        for row in rows(batches):
+            held.append(row)
+            records += sum(len(row[c]) for c in ("symbols", "imports", "calls", "inherits"))
+            if records >= BATCH_RECORDS or len(held) >= BATCH_FILES:
+                yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+                held, records = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
-def items_text(items: list[str]) -> str:
-    return json.dumps(items, separators=(",", ":"), ensure_ascii=False)
+    return files.select("path", "language", F.col("content").cast("binary")).mapInArrow(run, SCHEMA)
