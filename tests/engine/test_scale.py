@@ -1,6 +1,12 @@
 """What grows faster than the input: plans and numbers of passes, on small tables."""
 
-from codeloom.operators import resolve
+import sys
+
+import pytest
+
+from codeloom.operators import build, resolve
+from codeloom.operators.extract import lexer, registry
+from codeloom.plans import sources
 
 _NODES = "node_key string, label string, id string, name string, file_path string"
 
@@ -26,3 +32,44 @@ def test_records_are_distinct_before_names_are_expanded(spark):
     assert sorted(map(tuple, some.collect())) == sorted([(s, "Function|b", 7) for s in ("Function|a", "Method|a")] + [("Function|b", "Function|a", 1)])
     inherits = resolve.inherit_edges(records.withColumnsRenamed({"caller_id": "child_id", "callee_name": "parent_name"}), _nodes(spark))
     assert sorted(map(tuple, inherits.collect())) == [("Function|a", "Class|d"), ("Method|a", "Class|d")] and _joins_last(inherits)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_parts_are_dealt_to_all_cores(spark):
+    for languages in ((), ("C++",)):
+        files = sources.sources(spark, SF, *languages)
+        assert files.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+        assert files.count() == spark.read.parquet(f"{SF}/part.parquet").count() * (len(languages) or 6)
+
+
+@pytest.mark.parametrize("name", ["graph_symbols", "graph_contains", "graph_calls", "graph_inherits", "update_deletes_files", "update_replaces_files"])
+def test_files_are_extracted_once(spark, name):
+    plan = sources.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_names_are_resolved_without_the_driver(spark):
+    graph = build.derive(build.raw_tables(registry.extract(sources.sources(spark, SF))))
+    for table in ("symbols", "contains", "calls", "inherits"):
+        assert "BroadcastHashJoin" not in getattr(graph, table)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("language", [x for x in sources.TEMPLATES if x != "Python"])
+def test_words_are_looked_up_by_place(language):
+    """Each clause looks at the tokens with its words, not at all of them."""
+    text = "".join(sources.TEMPLATES[language][1].replace("{k}", str(k)) for k in range(20))
+    typed = "script" if language in ("JavaScript", "TypeScript") else {"C++": "cpp"}.get(language, language.lower())
+    seen = 0
+
+    def count(frame, event, _):
+        nonlocal seen
+        seen += event == "call" and frame.f_code is lexer.Code.is_.__code__
+
+    sys.setprofile(count)
+    try:
+        registry.EXTRACTORS[language](text, False)
+    finally:
+        sys.setprofile(None)
+    assert seen < 5 * len(lexer.Code(text, typed).tokens)
