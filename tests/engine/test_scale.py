@@ -73,3 +73,11 @@ def test_words_are_looked_up_by_place(language):
     finally:
         sys.setprofile(None)
     assert seen < 5 * len(lexer.Code(text, typed).tokens)
+
+
+def test_only_symbols_without_a_parent_are_shuffled(spark):
+    schema = "file_path string, language string, ord int, id string, name string, kind string, signature string, parent_id string, parent_name string"
+    rows = [("p", "Rust", 0, "s", "S", "Struct", "x", None, None), ("p", "Rust", 1, "m", "f", "Method", "x", None, "S"), ("p", "Rust", 2, "n", "g", "Method", "x", None, "T"), ("p", "C++", 3, "o", "h", "Method", "x", "s", "S"), ("p", "Go", 4, "q", "E", "Enum", "x", None, None), ("q", "Go", 0, "r", "k", "Method", "x", None, "E")]
+    got = resolve.parents(spark.createDataFrame(rows, schema))
+    assert {r.id: r.parent_id for r in got.collect()} == {"s": None, "m": "s", "n": None, "o": "s", "q": None, "r": None}
+    assert got._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")
