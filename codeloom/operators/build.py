@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,13 +45,15 @@ def raw_tables(extracted: DataFrame) -> Graph:
     return Graph(files, rows("symbols"), rows("imports").drop("language"), rows("calls").drop("language"), rows("inherits").drop("language"))
 
 
-def derive(graph: Graph, sequential: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None) -> Graph:
+def derive(graph: Graph, sequential: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None, shown: Iterable[str] | None = None) -> Graph:
     """Resolve the raw records of all files into nodes and edges.
 
-    Edges of all types read the nodes, so ``keep`` may write them and read them back.
+    Edges of all types read the nodes, so ``keep`` may write them and read them back.  ``shown``:
+    columns of the nodes that are wanted beside those that edges need; without it all are.
     """
     symbols = resolve.parents(graph.raw_symbols)
-    graph.symbols = keep(resolve.nodes(symbols)) if keep else resolve.nodes(symbols)
+    nodes = resolve.nodes(symbols, None if shown is None else {*resolve.NEEDED, *shown})
+    graph.symbols = keep(nodes) if keep else nodes
     graph.modules = resolve.modules(graph.raw_imports)
     graph.contains = resolve.contain_edges(symbols, graph.symbols)
     graph.imports = resolve.import_edges(graph.raw_imports)
@@ -63,7 +65,11 @@ def derive(graph: Graph, sequential: bool = False, keep: Callable[[DataFrame], D
 
 
 def statistics(extracted: DataFrame) -> DataFrame:
-    """One row: files_discovered, files_parsed, files_failed and the records that were found."""
+    """One row: files_discovered, files_parsed, files_failed and the records that were found.
+
+    ``extracted``: what ``registry.extract`` gives, or ``registry.counts``.
+    """
     ok = F.col("error").isNull()
-    total = lambda c: F.coalesce(F.sum(F.when(ok, F.size(c))), F.lit(0)).cast("long")
+    number = lambda c: F.size(c) if extracted.schema[c].dataType.typeName() == "array" else F.col(c)
+    total = lambda c: F.coalesce(F.sum(F.when(ok, number(c))), F.lit(0)).cast("long")
     return extracted.agg(F.count("*").alias("files_discovered"), F.count_if(ok).alias("files_parsed"), F.count_if(~ok).alias("files_failed"), total("symbols").alias("symbols_written"), total("imports").alias("imports_written"), total("calls").alias("call_sites"))
