@@ -7,6 +7,7 @@ import pytest
 from codeloom.operators import build, resolve
 from codeloom.operators.extract import lexer, registry
 from codeloom.plans import sources
+from codeloom.sources.store import Store
 
 _NODES = "node_key string, label string, id string, name string, file_path string"
 
@@ -81,3 +82,58 @@ def test_only_symbols_without_a_parent_are_shuffled(spark):
     got = resolve.parents(spark.createDataFrame(rows, schema))
     assert {r.id: r.parent_id for r in got.collect()} == {"s": None, "m": "s", "n": None, "o": "s", "q": None, "r": None}
     assert got._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")
+
+
+@pytest.mark.parametrize("language", [x for x in sources.TEMPLATES if x != "Python"])
+def test_plain_texts_are_cut_in_one_go(language, monkeypatch):
+    """No match object for each token, and the same tokens as those of the scan."""
+    typed = "script" if language in ("JavaScript", "TypeScript") else {"C++": "cpp"}.get(language, language.lower())
+    texts = [sources.TEMPLATES[language][1], "a 'b' \"c\\\"d\n // e\n/* f\n */ \x1c#x 1.5 ..<", "  #define A \\\n 1\n#if u8\"s\" L'c' 'a b'\n'", ""]
+    hard = lexer._HARD[typed]
+    wanted = []
+    for text in texts:
+        code = lexer.Code.__new__(lexer.Code)
+        code.text, code.tokens, code.comments, code.directives = text, [], [], []
+        code._scan(0, len(text), typed, False)
+        wanted.append((code.tokens, code.comments, code.directives))
+    monkeypatch.setattr(lexer.Code, "_scan", None)
+    for text, want in zip(texts, wanted, strict=True):
+        if not (hard and hard(text)):
+            code = lexer.Code(text, typed)
+            assert (code.tokens, code.comments, code.directives) == want
+
+
+def test_statistics_take_numbers_only(spark):
+    files = sources.sources(spark, SF).unionByName(spark.createDataFrame([("x", "Cobol", b"x"), ("y", "Go", None)], "path string, language string, content binary"))
+    counted = registry.counts(files)
+    assert "array" not in counted.schema.simpleString()
+    assert build.statistics(counted).collect() == build.statistics(registry.extract(files)).collect()
+    plan = sources.QUERIES["index_statistics"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "content_hash" not in plan
+
+
+def test_records_that_are_not_wanted_are_not_sent(spark):
+    some, every = registry.extract(sources.sources(spark, SF, "Go"), columns=("calls",)), registry.extract(sources.sources(spark, SF, "Go"))
+    assert some.columns == ["path", "language", "content_hash", "line_count", "error", "calls"]
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, every.select(*some.columns).collect()))
+
+
+def test_nodes_are_sorted_once(spark):
+    schema = "file_path string, language string, ord int, id string, name string, kind string, start_line int, end_line int, signature string, visibility string, is_async boolean, docstring string, parent_id string, parent_name string"
+    row = lambda path, k, end: (path, "Go", k, "p:f:1", "f", "Function", 1, end, None, "public", False, None, None, None)
+    rows = [row("p", 0, 5), row("p", 2, 7), row("p", 1, 9), row("o", 4, 3)]
+    got = resolve.nodes(spark.createDataFrame(rows, schema))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Sort [") == 1
+    assert [r.end_line for r in got.collect()] == [7]
+    few = resolve.nodes(spark.createDataFrame(rows, schema), {"node_key", "end_line"})
+    assert set(few.columns) == {"node_key", "file_path", "end_line"} and few.first().end_line == 7
+
+
+@pytest.mark.parametrize("name", ["cypher_unbounded", "cypher_set", "cypher_delete", "cypher_merge"])
+def test_tables_that_nobody_reads_are_not_written(spark, name, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("the whole graph is written")
+
+    monkeypatch.setattr(Store, "_write", refuse)
+    assert sources.QUERIES[name](spark, SF).count() > 0
